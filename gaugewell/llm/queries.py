@@ -12,5 +12,33 @@ def p6_ids(spark, sf_dir):
     return encode_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids}
+def p7_found(spark, sf_dir):
+    """(doc_id, item_id): the document and the item's prompt share 12 consecutive words."""
+    from gaugewell.llm.leaks import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), fields=("prompt",), offsets=False)
+
+
+def p7_passages(spark, sf_dir):
+    """Every shared passage of a prompt or an answer, with its place in the text as stored."""
+    from gaugewell.llm.leaks import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark, sf_dir):
+    """(doc_id) of the documents that are cut."""
+    from gaugewell.llm.split import split_texts
+
+    return split_texts(table(spark, sf_dir, "documents"), with_ids=False).where("piece_no = 0").select("doc_id").distinct()
+
+
+def p8_pieces(spark, sf_dir):
+    """The pieces of every document of more than 2,048 tokens."""
+    from gaugewell.llm.split import split_texts
+
+    return split_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_passages, p8_found, p8_pieces)}
 SQL: dict[str, str] = {}
