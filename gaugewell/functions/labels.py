@@ -13,7 +13,7 @@ def entries(labels: Column) -> Column:
 
 
 def escaped(c: Column) -> Column:
-    return F.regexp_replace(c, r"([\;=])", r"\\$1")
+    return F.regexp_replace(c, r"([\\;=])", r"\\$1")
 
 
 def label_set(labels: Column) -> Column:
