@@ -256,7 +256,8 @@ def envelope_counts(spark, sf_dir):
 
 _LNG = math.log(DDSketch().gamma)
 _G = repr(DDSketch().gamma)
-_DD = _EV + f", c AS (SELECT event_type, day, ceil(ln(value) / {_LNG!r})::INT AS bucket, count(*) AS w FROM e WHERE value > 0 GROUP BY ALL)"
+_DD = _EV + f""", c AS (SELECT event_type, day, sign(value)::INT AS sign, CASE WHEN value = 0 THEN 0 ELSE ceil(ln(abs(value)) / {_LNG!r}) END::INT AS bucket, count(*) AS w
+FROM e WHERE value IS NOT NULL AND isfinite(value) GROUP BY ALL)"""
 _DD_PLAN = Plan(7, "events", DDSKETCH, size_ms=DAY, omit_resource=True, aggregate_by=("event_type",), transmit_sketch=False, quantiles=(0.5, 0.9, 0.99, 1.0))
 
 
@@ -264,17 +265,17 @@ def _dd_table(spark, sf_dir, plan=_DD_PLAN):
     return engine.cells(plan, engine.admitted(plan, events(spark, sf_dir)))
 
 
-@query(_DD + "SELECT '7||event_type=' || event_type || ';' AS series, day AS window_start_ms, 1 AS sign, bucket, w FROM c")
+@query(_DD + "SELECT '7||event_type=' || event_type || ';' AS series, day AS window_start_ms, sign, bucket, w FROM c")
 def dd_cells(spark, sf_dir):
     return _dd_table(spark, sf_dir).select("series", "window_start_ms", "sign", "bucket", "w")
 
 
 def _dd_sql(groups: str) -> str:
-    return f""", u AS (SELECT *, sum(w) OVER (PARTITION BY {groups} ORDER BY bucket) AS upto, sum(w) OVER (PARTITION BY {groups}) AS n FROM c),
+    return f""", u AS (SELECT *, sum(w) OVER (PARTITION BY {groups} ORDER BY sign, sign * bucket) AS upto, sum(w) OVER (PARTITION BY {groups}) AS n FROM c),
 q AS (SELECT *, unnest([0.5, 0.9, 0.99, 1.0]::DOUBLE[]) AS q FROM u)"""
 
 
-_PICK = f"round(2 * pow({_G}, bucket) / ({_G} + 1), 6) AS value"
+_PICK = f"round(sign * 2 * pow({_G}, bucket) / ({_G} + 1), 6) AS value"
 
 
 @query(_DD + _dd_sql("event_type, day") + f"""SELECT event_type, CASE WHEN q = 1 THEN '1' ELSE q::VARCHAR END AS quantile, day AS window_start_ms, day + 86400000 AS window_end_ms, {_PICK}, n::BIGINT AS count
@@ -309,8 +310,8 @@ def delta_against_empty(spark, sf_dir):
     return engine.unpack(plan, out).groupBy("event_type", "window_start_ms", "encoding", "count").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
-@query(_DD + """, d AS (SELECT event_type, day, bucket, w FROM c UNION ALL SELECT event_type, day + 86400000, bucket, -w FROM c)
-SELECT '7||event_type=' || event_type || ';' AS series, day AS window_start_ms, 1 AS sign, bucket, sum(w)::BIGINT AS delta FROM d GROUP BY ALL HAVING sum(w) <> 0""")
+@query(_DD + """, d AS (SELECT event_type, day, sign, bucket, w FROM c UNION ALL SELECT event_type, day + 86400000, sign, bucket, -w FROM c)
+SELECT '7||event_type=' || event_type || ';' AS series, day AS window_start_ms, sign, bucket, sum(w)::BIGINT AS delta FROM d GROUP BY ALL HAVING sum(w) <> 0""")
 def delta_against_prev(spark, sf_dir):
     return deltas.against_previous(_dd_table(spark, sf_dir), ["series"], DDSketch.cell, DAY)
 
@@ -446,7 +447,7 @@ def cms_point(spark, sf_dir):
     return Frequency().point(_frequency_cells(spark, sf_dir, COUNT_MIN), _asked(spark, sf_dir), ["window_start_ms"])
 
 
-@query(_frequency_sql(True) + _ASKED + "SELECT day AS window_start_ms, item, median(w * sign)::DOUBLE AS estimate FROM x GROUP BY ALL")
+@query(_frequency_sql(True) + _ASKED + "SELECT day AS window_start_ms, item, (median(w * sign) + 0.0)::DOUBLE AS estimate FROM x GROUP BY ALL")
 def cs_point_median(spark, sf_dir):
     return Frequency(signed=True).point(_frequency_cells(spark, sf_dir, COUNT_SKETCH), _asked(spark, sf_dir), ["window_start_ms"])
 

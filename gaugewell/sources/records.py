@@ -64,6 +64,7 @@ def lift(flat: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFram
         # The position of a row is that within its range of the order, plus the rows of the ranges before.
         rows = flat.repartitionByRange(F.col(f"`{order}`").asc()).sortWithinPartitions(f"`{order}`").withColumn("_p", F.spark_partition_id())
         rows = rows.withColumn("_r", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("bigint"), 33))
+        rows = written(rows, "ranges")  # a second run of the plan may cut the ranges otherwise
         sizes = rows.groupBy("_p").count().withColumn("_before", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).select("_p", "_before")
         rows = rows.join(F.broadcast(sizes), "_p").withColumn("parent_id", F.col("_r") + F.col("_before")).drop("_p", "_r", "_before")  # a row per partition
     else:
