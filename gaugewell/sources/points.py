@@ -71,7 +71,8 @@ def decode(df: DataFrame, strict: bool = True) -> DataFrame:
     )
     if strict:
         return out
-    bad = F.when(carried & F.col("envelope.sketch_type").isNull(), UNKNOWN_SKETCH).when(carried & F.col("envelope.encoding").isNull(), UNKNOWN_ENCODING)
+    held = F.col("kind") == "Envelope"
+    bad = F.when(held & F.col("envelope.sketch_type").isNull(), UNKNOWN_SKETCH).when(held & F.col("envelope.encoding").isNull(), UNKNOWN_ENCODING)
     return out.withColumn("problem", bad)
 
 
