@@ -82,4 +82,5 @@ class FrequentItems:
         same = (F.shiftrightunsigned("_h", 32) == F.col("_prefix")) & F.col("_g").eqNullSafe(F.col("_hg"))
         near = self.rows.join(F.broadcast(side) if few else side, same).drop("_hg", "_prefix", "_h")
         counted = (once(near, "_id", "_g", "_item", "_total") if self.id_col else near).groupBy("_g", "_item", "_total").agg(F.count(F.lit(1)).alias("count"))
-        return counted.where(F.col("count") >= F.col("_total") * share).select(F.col("_g").alias(self.group), F.col("_item").alias(self.item), "count", F.col("_total").alias("total"))
+        least = F.col("_total") * share * (1 - 1e-12)  # the product may be rounded up
+        return counted.where(F.col("count") >= least).select(F.col("_g").alias(self.group), F.col("_item").alias(self.item), "count", F.col("_total").alias("total"))

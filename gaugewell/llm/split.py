@@ -5,7 +5,8 @@ boundary near its midpoint and its halves are cut on, then every piece but the f
 the one before it.  Strengths, from the top: between cells, between paragraphs (after a blank line), between lines,
 between words, between characters.  Near the midpoint is the middle half of the range; where that has no cell, paragraph
 or line boundary, one outside it is taken, the nearest of the strongest kind, so that no line is cut while the range
-could still be cut between lines.  A cut is always a token boundary, and inside a character only if nothing else is left.
+could still be cut between lines.  That can leave pieces of a few tokens beside a long line; a piece of less than an eighth
+of what is allowed is joined to a neighbour, over the weaker of its two cuts, if both fit together.  A cut is always a token boundary, and inside a character only if nothing else is left.
 """
 
 from __future__ import annotations
@@ -69,7 +70,21 @@ def bisect(power: np.ndarray, most: int) -> list[int]:
                 k = other
         cuts.add(k)
         todo += [(a, k), (k, b)]
-    return sorted(cuts)
+    return _joined(sorted(cuts), power, most)
+
+
+def _joined(cuts: list[int], power: np.ndarray, most: int) -> list[int]:
+    """The cuts without those that part a very small piece from a neighbour it fits together with."""
+    k = 0
+    while k < len(cuts) - 1:
+        if cuts[k + 1] - cuts[k] < most // 8:
+            inner = [c for c in (k, k + 1) if 0 < c < len(cuts) - 1 and cuts[c + 1] - cuts[c - 1] <= most]
+            if inner:
+                del cuts[min(inner, key=lambda c: power[cuts[c]])]
+                k = max(k - 1, 0)
+                continue
+        k += 1
+    return cuts
 
 
 def _strongest(power: np.ndarray, lo: int, hi: int, mid: float) -> int:

@@ -109,6 +109,11 @@ def test_set_operations(spark):
     assert got["only", "left_only"].estimate == 9 and got["only", "intersection"].high == 0
 
 
+def test_an_item_at_the_very_threshold(spark):
+    df = spark.createDataFrame([(i, "a", b"hot" if i < 7 else f"u{i}".encode()) for i in range(350)], "obs_id bigint, g string, b binary")
+    assert 350 * 0.02 > 7 and [r["count"] for r in FrequentItems(df, "g", "b").find(0.02).collect()] == [7]
+
+
 def test_frequent_items(spark):
     rng = random.Random(4)
     rows = []

@@ -72,6 +72,13 @@ def test_bisection_terminates_without_boundaries():
     assert max(b - a for a, b in zip(cuts, cuts[1:])) <= 7 and cuts[0] == 0 and cuts[-1] == 5000
 
 
+def test_small_pieces_are_joined():
+    power = np.ones(4001, np.int8)
+    power[[1900, 1905, 3000]] = 3
+    cuts = bisect(power, 2000)
+    assert max(b - a for a, b in zip(cuts, cuts[1:])) <= 2000 and min(b - a for a, b in zip(cuts, cuts[1:])) >= 250
+
+
 def test_no_rows(spark):
     assert pieces(spark, []) == {}
     with pytest.raises(ValueError):
