@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugewell.functions.ranked import first_rows
 from gaugewell.operators.lateness import window_starts
 from gaugewell.plans.plan import Plan
 
@@ -57,7 +58,6 @@ def cap_series(df: DataFrame, plan: Plan, order: list[str]) -> tuple[DataFrame,
         return df, df.limit(0)
     by = ["agg_id", "window_start_ms"]
     first = df.groupBy(*by, "series").agg(F.min(F.struct(*order)).alias("_first"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_first", "series"))
-    kept = first.withColumn("_rank", rank).where(F.col("_rank") <= plan.max_series).select(*by, "series")
+    kept = first_rows(first, by, ["_first", "series"], plan.max_series).select(*by, "series")
     on = [*by, "series"]
     return df.join(kept, on, "left_semi"), df.join(kept, on, "left_anti")
