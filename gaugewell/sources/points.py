@@ -16,6 +16,20 @@ from gaugewell.errors import UNKNOWN_ENCODING, UNKNOWN_SKETCH
 from gaugewell.plans.plan import ENCODINGS, SKETCH_TYPES
 
 
+def observation(timestamp_ms: Column, metric: Column, value: Column, kind: str = "Float", resource_labels: Column | None = None, labels: Column | None = None) -> list[Column]:
+    """The columns of observations whose ``value`` is of one kind: Float, Hash, Bytes or Envelope."""
+    empty = F.create_map().cast("map<string,string>")
+    kinds = {"Float": ("float", "double"), "Hash": ("hash", "bigint"), "Bytes": ("bytes", "binary")}
+    if kind not in (*kinds, "Envelope"):
+        raise ValueError(f"unknown kind {kind!r}")
+    values = [(value if k == kind else F.lit(None)).cast(t).alias(n) for k, (n, t) in kinds.items()]
+    carried = [value.alias("envelope")] if kind == "Envelope" else []
+    return [
+        timestamp_ms.cast("bigint").alias("timestamp_ms"), metric.alias("metric"), (empty if resource_labels is None else resource_labels).alias("resource_labels"),
+        (empty if labels is None else labels).alias("labels"), F.lit(kind).alias("kind"), *values, *carried,
+    ]
+
+
 def timestamp_ms(df: DataFrame, name: str = "time_unix_nano") -> Column:
     """Milliseconds of a nanosecond count or a timestamp; null and what isn't after 1970 give 0."""
     kind = dict(df.dtypes).get(name)
