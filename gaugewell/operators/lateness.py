@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewell.storage import new_path
+from gaugewell.storage import local_table, new_path
 
 #: Event times beyond it, in either direction, are in no window, so that sums of times can't overflow.
 _FAR = 1 << 61
@@ -69,7 +69,7 @@ class LambdaViews:
     def __post_init__(self) -> None:
         self.folder = self.folder or new_path(self.spark, "views")
         rows = [(p.metric, p.agg_id, p.size_ms, p.step_ms, p.lateness_ms) for p in self.plans]
-        self._plans = self.spark.createDataFrame(rows, "metric string, agg_id bigint, size bigint, step bigint, lateness bigint")
+        self._plans = local_table(self.spark, rows, "metric string, agg_id bigint, size bigint, step bigint, lateness bigint")
 
     # The log
 
@@ -161,7 +161,7 @@ class LambdaViews:
         return self
 
     def _views(self, state: str, runs: list[int]) -> DataFrame:
-        empty = self.spark.createDataFrame([], VIEW)
+        empty = local_table(self.spark, [], VIEW)
         if not runs:
             return empty
         paths = [f"{self.folder}/views/at={r}" for r in runs]
@@ -184,7 +184,7 @@ class LambdaViews:
     def late(self) -> DataFrame:
         """(agg_id, window_start_ms, obs_id) of the records that came after the cut-off, of the runs so far."""
         if not self.done:
-            return self.spark.createDataFrame([], LATE)
+            return local_table(self.spark, [], LATE)
         return self.spark.read.schema(LATE).parquet(*[f"{self.folder}/late/at={r}" for r in self.done])
 
     def fast_stream(self, observations: DataFrame, **options):

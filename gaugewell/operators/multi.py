@@ -9,6 +9,7 @@ from gaugewell.functions.labels import entries
 from gaugewell.functions.series import attributes_key
 from gaugewell.operators.lateness import window_starts
 from gaugewell.plans.plan import PlanSet
+from gaugewell.storage import local_table
 
 
 def _key_by(labels: Column, names: Column) -> Column:
@@ -21,7 +22,7 @@ def assigned(observations: DataFrame, plans: PlanSet) -> DataFrame:
     """The rows of every plan with ``agg_id``, ``series`` and window, without those that came too late for it."""
     metric = lambda p: next((m.value for m in p.matchers if m.name == ""), None)
     rows = [(metric(p), p.agg_id, p.size_ms, p.step_ms, p.allowed_lateness_ms, list(p.aggregate_by)) for p in plans.plans if p.size_ms > 0]
-    table = observations.sparkSession.createDataFrame(rows, "metric string, agg_id bigint, _size bigint, _step bigint, _late bigint, _by array<string>")
+    table = local_table(observations.sparkSession, rows, "metric string, agg_id bigint, _size bigint, _step bigint, _late bigint, _by array<string>")
     joined = observations.where("coalesce(kind, '') <> 'Envelope'").join(F.broadcast(table), "metric")  # the plans that the driver holds
     out = joined.withColumn("window_start_ms", F.explode(window_starts(F.col("timestamp_ms"), F.col("_size"), F.col("_step"))))
     out = out.withColumn("window_end_ms", F.col("window_start_ms") + F.col("_size"))

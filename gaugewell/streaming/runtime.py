@@ -25,7 +25,7 @@ from gaugewell.operators import engine
 from gaugewell.operators.sketches import Kll
 from gaugewell.operators.windows import is_late
 from gaugewell.plans.plan import Plan, PlanSet
-from gaugewell.storage import new_path
+from gaugewell.storage import local_table, new_path
 
 
 @dataclass
@@ -103,7 +103,7 @@ class Runtime:
     def _none(self) -> DataFrame:
         from gaugewell.schemas import ENVELOPE
 
-        return self.spark.createDataFrame([], ENVELOPE)
+        return local_table(self.spark, [], ENVELOPE)
 
     def _emit(self, table: DataFrame, rest: DataFrame | None) -> DataFrame:
         self.number += 1
