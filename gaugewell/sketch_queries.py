@@ -474,7 +474,7 @@ def stream_tumbling(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("int")
     tier = F.when(k % 7 != 0, F.concat(F.lit("t"), (k % 3).cast("string")))
     obs = stream.select(
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), F.lit("events").alias("metric"), F.create_map().cast("map<string,string>").alias("resource_labels"),
+        F.unix_millis(points.instant(F.col("ts"), dict(stream.dtypes)["ts"], spark)).alias("timestamp_ms"), F.lit("events").alias("metric"), F.create_map().cast("map<string,string>").alias("resource_labels"),
         F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("tier"), tier).alias("labels"), F.lit("Float").alias("kind"), F.col("value").alias("float"), F.col("user_id").alias("hash"), F.lit(None).cast("binary").alias("bytes"),
     )
     runtime.attach(obs, lambda df, _: emitted.append(df)).trigger(availableNow=True).start().awaitTermination()

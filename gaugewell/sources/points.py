@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewell import schemas
@@ -30,12 +30,19 @@ def observation(timestamp_ms: Column, metric: Column, value: Column, kind: str =
     ]
 
 
+def instant(c: Column, kind: str, spark: SparkSession) -> Column:
+    """A timestamp; one without a time zone is taken as UTC, whatever the session's zone."""
+    if kind == "timestamp_ntz" and spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z"):
+        c = F.convert_timezone(F.lit("UTC"), F.current_timezone(), c)
+    return c.cast("timestamp")
+
+
 def timestamp_ms(df: DataFrame, name: str = "time_unix_nano") -> Column:
     """Milliseconds of a nanosecond count or a timestamp; null and what isn't after 1970 give 0."""
     kind = dict(df.dtypes).get(name)
     if kind is None:
         return F.lit(0).cast("bigint")
-    ms = F.expr(f"`{name}` div 1000000") if kind == "bigint" else F.unix_millis(F.col(name).cast("timestamp"))
+    ms = F.expr(f"`{name}` div 1000000") if kind == "bigint" else F.unix_millis(instant(F.col(name), kind, df.sparkSession))
     return F.coalesce(F.greatest(ms, F.lit(0)), F.lit(0)).cast("bigint")
 
 

@@ -25,6 +25,17 @@ def test_timestamps_and_missing_columns(spark):
     assert (r.timestamp_ms, r.metric, r.float, r.labels) == (1000, "", 0.0, {})
 
 
+def test_times_without_a_zone_are_utc(spark):
+    df = spark.createDataFrame([(datetime.datetime(2024, 7, 1, 12),)], "time_unix_nano timestamp_ntz")
+    want = points.decode(df).first().timestamp_ms
+    assert want == 1_719_835_200_000
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert points.decode(df).first().timestamp_ms == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_envelope_rows(spark):
     rows = [("m", b"\x01", "DDSketch", 42, 1, 1000, 2000, "PROTO_FULL", None), ("m", None, None, None, None, None, None, None, 7.5), ("m", b"", "", None, None, None, None, None, None)]
     a, b, c = points.decode(spark.createDataFrame(rows, CARRIED)).collect()
