@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewell.storage import new_path
+from gaugewell.storage import local_table, new_path
 
 TYPES = ("string", "long", "double", "boolean", "timestamp", "binary")
 #: Declared keys are part of the result's schema; more than this is taken for a mistake.
@@ -132,7 +132,7 @@ class BlockPivot:
     def _reduce(self, df: DataFrame) -> DataFrame:
         number = {a: k for k, (a, _) in enumerate(self.attributes)}
         rows = [(raw, number[a], t) for raw, a, t in self.keys]
-        keys = self.spark.createDataFrame(rows, "_key string, _attr int, _kind string")
+        keys = local_table(self.spark, rows, "_key string, _attr int, _kind string")
         values = F.when(F.col("_kind") == "binary", F.array(F.hex("bytes"))).otherwise(
             F.array(trimmed(F.make_valid_utf8(F.col("bytes").cast("string"))), trimmed(F.col("str").cast("string")), F.col("int").cast("string"))
         )
