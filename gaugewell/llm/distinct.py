@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewell.functions.hashing import hash60
+from gaugewell.functions.ranked import first_rows
 
 SPACE = float(1 << 60)
 
@@ -45,8 +46,7 @@ class KSmallest:
         smallest of its rows before they meet, so at most k rows per task and group do.
         """
         rows = sketches.select(*groups, "h").distinct()
-        w = Window.partitionBy(*groups).orderBy("h")
-        return rows.withColumn("_no", F.row_number().over(w)).where(F.col("_no") <= self.k).drop("_no")
+        return first_rows(rows, groups, ["h"], self.k)
 
     def estimate(self, sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
         """(group..., kept, estimate, low, high)."""
