@@ -160,7 +160,8 @@ def find_leaks(
     exclusive), one row for each longest passage; otherwise the distinct (id, item id).
 
     Null and empty texts and fields share nothing, and neither does a field of fewer words.  Repeated rows are found as
-    often as they occur with offsets, once without.  Items of one id count as one.  Columns not named are not read.
+    often as they occur with offsets, once without.  Items of one id count as one.  Columns not named are not read; if both ids have one name, that of the item
+    gets ``item_`` before it.
 
     The items are a stated query set.  Their size is measured first; each ``block_chars`` characters of them are one
     automaton and one pass over the texts, so what a task is sent stays bounded however many items there are.
@@ -171,7 +172,8 @@ def find_leaks(
     chars = flat.agg(F.sum(F.length("value"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     item_type = items.schema[item_col].dataType
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField(item_col, item_type)])
+    item_name = item_col if item_col.lower() != id_col.lower() else "item_" + item_col
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField(item_name, item_type)])
     if offsets:
         schema = T.StructType([*schema.fields, T.StructField("field", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("words", "start_char", "end_char")]])
     names = schema.fieldNames()

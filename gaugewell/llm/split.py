@@ -114,7 +114,8 @@ def split_texts(
     its own part), cut (what it was cut at) and, with ``with_ids``, its token ids, repeated ones first.
 
     Null, empty and shorter texts have no rows; a text of at most ``limit`` bytes has at most that many tokens and isn't
-    encoded.  Null or odd cells (bounds outside the text) give no cell boundaries.  Repeated rows give repeated pieces.
+    encoded.  Null, odd (bounds outside the text) and missing
+    cells give no cell boundaries.  Repeated rows give repeated pieces.
     Other columns are not read.  One text is held by one task, whole; the plan has no shuffle.
     """
     if not 0 <= overlap < limit:
@@ -163,7 +164,7 @@ def split_texts(
             if owner:
                 yield flush()
 
-    if cells_col:
+    if cells_col and cells_col in df.columns:
         bounds = F.concat(F.col(f"{cells_col}.start_char"), F.col(f"{cells_col}.end_char")).cast("array<int>")
     else:
         bounds = F.lit(None).cast("array<int>")

@@ -66,6 +66,8 @@ def test_long_text_and_no_rows(spark):
     df = spark.createDataFrame([(1, "z " * 300_000 + run + " z" * 300_000)], "doc_id bigint, text string")
     it = spark.createDataFrame([(5, run)], "item_id bigint, prompt string")
     assert [tuple(r) for r in find_leaks(df, it, fields=("prompt",), offsets=False).collect()] == [(1, 5)]
+    same = find_leaks(df.withColumnRenamed("doc_id", "id"), it.withColumnRenamed("item_id", "id"), "id", "text", "id", ("prompt",), offsets=False)
+    assert same.columns == ["id", "item_id"] and [tuple(r) for r in same.collect()] == [(1, 5)]
     (r,) = find_leaks(df, it, fields=("prompt",)).collect()
     assert (r.start_char, r.end_char) == (600_000, 600_000 + len(run))
     assert find_leaks(df, it.limit(0), fields=("prompt",)).collect() == []

@@ -81,5 +81,6 @@ def test_small_pieces_are_joined():
 
 def test_no_rows(spark):
     assert pieces(spark, []) == {}
+    assert split_texts(spark.createDataFrame([(1, "a b " * 3000)], "doc_id bigint, text string")).where("cut = 'cell'").count() == 0
     with pytest.raises(ValueError):
         split_texts(spark.createDataFrame([], CELLS), limit=5, overlap=5)
