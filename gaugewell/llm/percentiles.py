@@ -8,7 +8,8 @@ however many rows a group has.
 
 The first pass takes ``first_bits`` halvings and is stored per part of the data (a day, a file) as counts of cells.  Cells
 of different parts are combined by adding counts; they alone give an interval for every percentile whose ends are within
-a relative ``2 ** -(first_bits - 12)`` of each other (``bounds``; 0.4 percent for 20 bits).  Exact values (``exact``) come from more passes over those rows only that lie in the cells of a target rank.
+a relative ``2 ** -(first_bits - 12)`` of each other (``bounds``; 0.4 percent for 20 bits).  Exact values (``exact``) come from
+more passes, over a table of groups and values alone that the first one has written.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from gaugewell.functions.copies import once
 from gaugewell.storage import written
 
 _MANTISSA = float(1 << 52)
-#: Active cells are broadcast as 8-byte hashes if they are at most so many; otherwise they are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
+#: Targets (one row per group and percentile) are broadcast if they are at most so many; otherwise they are joined by a
+#: shuffle, whose skewed partitions Spark splits.
+MOST_BROADCAST = 100_000
 
 
 def ordered(v: Column) -> Column:
@@ -79,7 +81,10 @@ class Bisection:
 
     def partials(self) -> DataFrame:
         """(group..., _part, _cell, n): the counts of the first pass, one set per part of the data."""
-        return self._once(self.rows).groupBy(*self.names, "_part", self._cell().alias("_cell")).agg(F.count(F.lit(1)).alias("n"))
+        return self._partials(self._once(self.rows))
+
+    def _partials(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.names, "_part", self._cell().alias("_cell")).agg(F.count(F.lit(1)).alias("n"))
 
     def merge(self, partials: DataFrame) -> DataFrame:
         """The counts of all parts together; counts from elsewhere may be in the union that is given."""
@@ -106,25 +111,19 @@ class Bisection:
     def _out(self) -> list[Column]:
         return [F.col(n).alias(g) for n, g in zip(self.names, self.groups)]
 
-    def _active(self, targets: DataFrame) -> DataFrame:
-        """The rows in cells of a target rank, counted by value."""
-        mark = lambda cell: F.xxhash64(*self.names, cell).alias("_mark")
-        marks = targets.select(mark(F.col("_prefix"))).distinct()
-        if marks.count() <= MOST_BROADCAST:  # 8 bytes each
-            marks = F.broadcast(marks)
-        near = self.rows.withColumn("_mark", mark(self._cell())).join(marks, "_mark", "left_semi").drop("_mark")
-        return self._once(near).groupBy(*self.names, "_key").agg(F.count(F.lit(1)).alias("n"))
-
-    def exact(self, partials: DataFrame | None = None) -> DataFrame:
-        """(group..., n, q, value): the exact percentiles, q in thousandths."""
-        first = self.partials() if partials is None else partials
-        targets = written(self.targets(self.merge(first)), "targets")
-        rows = written(self._active(targets), "active")
+    def exact(self) -> DataFrame:
+        """(group..., n, q, value): the exact percentiles, q in thousandths.
+
+        The source is scanned once, into a table of groups and values; all passes read that table.
+        """
+        rows = written(self._once(self.rows).select(*self.names, "_part", "_key"), "values")
+        targets = written(self.targets(self.merge(self._partials(rows))), "targets")
+        few = targets.count() <= MOST_BROADCAST
         for done in range(self.first, 64, self.bits):
-            targets = self._narrowed(rows, targets, done)
+            targets = self._narrowed(rows, targets, done, few)
         return targets.select(*self._out(), F.col("total").alias("n"), "q", value_of(F.col("_prefix")).alias("value"))
 
-    def _narrowed(self, rows: DataFrame, targets: DataFrame, done: int) -> DataFrame:
+    def _narrowed(self, rows: DataFrame, targets: DataFrame, done: int, few: bool) -> DataFrame:
         """One more pass: count the rows of each interval by the next bits and keep the part with the rank."""
         prefix = F.shiftright("_key", 64 - done)
         t = targets.select(*[F.col(n).alias("_t" + n) for n in self.names], "q", "total", "rank", "below", F.col("_prefix").alias("_old"))
@@ -132,7 +131,7 @@ class Bisection:
         for n in self.names:
             same = same & F.col(n).eqNullSafe(F.col("_t" + n))
         next_ = F.shiftright("_key", max(0, 64 - done - self.bits)).alias("_prefix")
-        counted = rows.join(t, same).groupBy(*self.names, "q", "total", "rank", "below", next_).agg(F.sum("n").alias("n"))
+        counted = rows.join(F.broadcast(t) if few else t, same).groupBy(*self.names, "q", "total", "rank", "below", next_).agg(F.count(F.lit(1)).alias("n"))
         w = Window.partitionBy(*self.names, "q").orderBy("_prefix")  # at most 2 ** bits parts
         out = counted.withColumn("_upto", F.col("below") + F.sum("n").over(w))
         return out.where("_upto - n < rank and rank <= _upto").select(*self.names, "q", "total", "rank", (F.col("_upto") - F.col("n")).alias("below"), "_prefix")
