@@ -24,6 +24,12 @@ def frames(plan: Plan, envs: DataFrame) -> DataFrame:
     return envs.withColumn("encoding", F.when(F.row_number().over(first) == 1, plan.full_encoding).otherwise(plan.delta_encoding))
 
 
+def with_previous(envs: DataFrame) -> DataFrame:
+    """The envelopes with ``previous``, the payload of the same series' frame before, and ``first`` where there is none."""
+    w = Window.partitionBy("agg_id", attributes_key(F.col("resource_labels")), attributes_key(F.col("labels"))).orderBy("window_start_ms")
+    return envs.withColumn("previous", F.lag("payload").over(w)).withColumn("first", F.row_number().over(w) == 1)
+
+
 def against_previous(cells: DataFrame, series: Sequence[str], cell: Sequence[str], size_ms: int) -> DataFrame:
     """(series..., window_start_ms, cell..., delta): per cell, this window's weight less that of the window before.
 

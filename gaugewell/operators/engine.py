@@ -190,8 +190,15 @@ def admission(plan: Plan, envs: DataFrame) -> DataFrame:
     return envs.withColumn("problem", F.when(other, OTHER_PLAN).when(kind, OTHER_SKETCH).when(F.col("schema_version") > SCHEMA_VERSION, OTHER_VERSION))
 
 
-def merged_cells(plan: Plan, envs: DataFrame) -> DataFrame:
-    """The cells of admitted envelopes, merged per series and window; full and delta frames merge alike."""
+def merged_cells(plan: Plan, envs: DataFrame, by_end: bool = False) -> DataFrame:
+    """The cells of admitted envelopes, merged per series and window; full and delta frames merge alike.
+
+    Envelopes keep their window.  With ``by_end`` they go to the plan's window that holds their end (their start if that
+    is 0), which for windows of the same size is the one after.
+    """
+    if by_end and plan.size_ms:
+        at = F.when(F.col("window_end_ms") != 0, F.col("window_end_ms")).otherwise(F.col("window_start_ms"))
+        envs = envs.withColumn("window_start_ms", at - F.pmod(at, F.lit(plan.size_ms).cast("bigint"))).withColumn("window_end_ms", F.col("window_start_ms") + plan.size_ms)
     taken = admission(plan, envs).where("problem is null and payload is not null").drop("problem")
     keyed = series_columns(taken.where(F.octet_length("payload") > 0), plan)
     s = sketch_of(plan)

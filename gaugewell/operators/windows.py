@@ -31,6 +31,7 @@ def assign(df: DataFrame, plan: Plan, ts: str = "timestamp_ms") -> DataFrame:
 
 def sessions(df: DataFrame, gap_ms: int, keys: list[str], aggs: list[Column], ts: str = "timestamp_ms") -> DataFrame:
     """Aggregates per key and session: points less than the gap apart are one session, which ends a gap after its last."""
+    df.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")  # before the shuffle too
     w = F.session_window(F.timestamp_millis(F.col(ts)), F.lit(f"{gap_ms} milliseconds"))
     out = df.where(F.col(ts).isNotNull()).groupBy(*keys, w.alias("_w")).agg(*aggs)
     return out.select(*keys, F.unix_millis("_w.start").alias("window_start_ms"), F.unix_millis("_w.end").alias("window_end_ms"), *[c for c in out.columns if c not in (*keys, "_w")])

@@ -13,7 +13,7 @@ from gaugewell.functions.series import attributes_key, series_key
 from gaugewell.operators import deltas, engine, multi, views, windows
 from gaugewell.operators.sketches import DDSketch, Frequency, HyperLogLog, Kll
 from gaugewell.plans.plan import COUNT_MIN, COUNT_SKETCH, DDSKETCH, HLL, KLL, Plan, from_table
-from gaugewell.sources import points, records
+from gaugewell.sources import jsonl, points, records
 from gaugewell.storage import table
 
 HOUR, DAY = 3_600_000, 86_400_000
@@ -252,6 +252,13 @@ def envelope_counts(spark, sf_dir):
     return e.groupBy("agg_id", "resource", "labels", "window_start_ms").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
 
 
+@query(f"""SELECT agg_id, {_ESC.format('resource_labels')} AS resource, {_ESC.format('labels')} AS labels, window_start_ms, sketch_type, encoding, payload, count, value FROM sketch_envelopes""")
+def envelope_json(spark, sf_dir):
+    """Envelopes written as JSON and read back."""
+    back = jsonl.from_json(jsonl.to_json(table(spark, sf_dir, "sketch_envelopes")))
+    return back.select("agg_id", label_set(F.col("resource_labels")).alias("resource"), label_set(F.col("labels")).alias("labels"), "window_start_ms", "sketch_type", "encoding", "payload", "count", "value")
+
+
 # DDSketch
 
 _LNG = math.log(DDSketch().gamma)
@@ -310,6 +317,16 @@ def delta_against_empty(spark, sf_dir):
     return engine.unpack(plan, out).groupBy("event_type", "window_start_ms", "encoding", "count").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
+@query(_DD + """, n AS (SELECT event_type, day, count(*) AS n FROM c GROUP BY ALL), p AS (SELECT *, lag(n) OVER (PARTITION BY event_type ORDER BY day) AS b FROM n)
+SELECT event_type, day AS window_start_ms, b IS NULL AS first, n AS cells, coalesce(b, -1) AS cells_before FROM p""")
+def snapshot_lookup(spark, sf_dir):
+    """Every frame beside the one before it of its series."""
+    plan = replace(_DD_PLAN, transmit_sketch=True)
+    out = deltas.with_previous(engine.run(plan, events(spark, sf_dir)))
+    n = lambda c: F.json_array_length(F.col(c).cast("string")).cast("bigint")
+    return out.select(F.col("labels")["event_type"].alias("event_type"), "window_start_ms", "first", n("payload").alias("cells"), F.coalesce(n("previous"), F.lit(-1)).alias("cells_before"))
+
+
 @query(_DD + """, d AS (SELECT event_type, day, sign, bucket, w FROM c UNION ALL SELECT event_type, day + 86400000, sign, bucket, -w FROM c)
 SELECT '7||event_type=' || event_type || ';' AS series, day AS window_start_ms, sign, bucket, sum(w)::BIGINT AS delta FROM d GROUP BY ALL HAVING sum(w) <> 0""")
 def delta_against_prev(spark, sf_dir):

@@ -10,7 +10,8 @@ from gaugewell.functions.matchers import LabelMatcher
 from gaugewell.operators import deltas, engine, views, windows
 from gaugewell.operators.sketches import DDSketch, Frequency, HyperLogLog, Kll
 from gaugewell.plans.plan import COUNT_MIN, COUNT_SKETCH, CUSTOM, DDSKETCH, HLL, KLL, Plan, PlanSet
-from gaugewell.schemas import OBSERVATION
+from gaugewell.schemas import ENVELOPE, OBSERVATION
+from gaugewell.sources import jsonl
 from gaugewell.streaming.compat import ActiveWindow, replay
 from gaugewell.streaming.control import ControlLoop, FileChannel
 from gaugewell.streaming.runtime import Runtime, watermarked
@@ -188,6 +189,19 @@ def test_deltas_between_windows(spark):
     assert {(r.series, r.window_start_ms, r.sign, r.bucket): r.w for r in back.collect()} == cells
 
 
+def test_frames_by_their_end_and_as_json(spark):
+    plan = replace(P, transmit_sketch=True)
+    e = engine.run(plan, obs(spark, [(1, {"a": "x", "b": None}, 1.0)]))
+    assert [r.window_start_ms for r in engine.merged_cells(plan, e, by_end=True).collect()] == [10_000]
+    assert [r.window_start_ms for r in engine.merged_cells(plan, e).collect()] == [0]
+    back = jsonl.from_json(jsonl.to_json(e))
+    assert back.collect() == e.collect() and back.schema.simpleString() == spark.createDataFrame([], ENVELOPE).schema.simpleString()
+    (r,) = jsonl.from_json(spark.createDataFrame([("nonsense",)], "value string")).collect()
+    assert r.agg_id is None
+    (r,) = deltas.with_previous(e).collect()
+    assert r.previous is None and r.first
+
+
 def test_views(spark):
     e = engine.run(P, obs(spark, [(1, {"a": "x"}, 1.0), (10_001, {"a": "x"}, 1.0), (1, {"a": "y"}, 1.0)]))
     both = e.unionByName(engine.run(replace(P, agg_id=2, transmit_sketch=True), obs(spark, [(1, {"a": "x"}, 1.0)])))
