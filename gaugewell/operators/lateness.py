@@ -16,6 +16,7 @@ grow, so a run adds the new arrivals' part to them instead of computing all of h
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,8 @@ from gaugewell.storage import local_table, new_path
 _FAR = 1 << 61
 #: A set of plans is configuration and read by the driver; more than this is taken for a mistake.
 MOST_PLANS = 100_000
+#: Runs of a replay that are at work at the same time.
+AT_ONCE = 4
 LOG = "obs_id bigint, metric string, event_ms bigint, arrival_ms bigint, value double, run bigint"
 VIEW = "agg_id bigint, window_start_ms bigint, n_obs bigint, n_values bigint, min_value double, max_value double"
 LATE = "agg_id bigint, window_start_ms bigint, obs_id bigint"
@@ -135,8 +138,11 @@ class LambdaViews:
         """The scheduled batch at ``r * interval_ms``; runs come in rising order."""
         if self.done and r <= self.done[-1]:
             raise ValueError("runs come in rising order")
+        self._run(r, self.done[-1] if self.done else None)
+        self.done.append(r)
+
+    def _run(self, r: int, since: int | None) -> None:
         now = r * self.interval_ms
-        since = self.done[-1] if self.done else None
         log = self.log().where(F.col("run") <= r)
         new = log if since is None else log.where(F.col("run") > since)
         self._too_late(new).write.mode("overwrite").parquet(f"{self.folder}/late/at={r}")
@@ -150,14 +156,17 @@ class LambdaViews:
         state = F.when(F.col("cutoff").isNull(), "grown").when(F.col("cutoff") <= now, "frozen").otherwise("open")
         kept = rows.where("cutoff is null or arrival_ms <= cutoff").withColumn("state", state)
         self._aggregate(kept, "state").write.mode("overwrite").partitionBy("state").parquet(f"{self.folder}/views/at={r}")
-        self.done.append(r)
 
     def replay(self) -> LambdaViews:
-        """All scheduled runs up to the last arrival in the log, as they would have happened."""
+        """All scheduled runs up to the last arrival in the log, as they would have happened.
+
+        A run reads the log up to its own time and nothing that other runs wrote, so a few run at once.
+        """
         first, last = self.log().agg(F.min("run"), F.max("run")).first()
-        for r in range(first, last + 1) if first is not None else ():
-            if not self.done or r > self.done[-1]:
-                self.run(r)
+        runs = [r for r in range(first, last + 1) if not self.done or r > self.done[-1]] if first is not None else []
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            list(pool.map(self._run, runs, [*self.done[-1:], *runs] if self.done else [None, *runs]))
+        self.done += runs
         return self
 
     def _views(self, state: str, runs: list[int]) -> DataFrame:
