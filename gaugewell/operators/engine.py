@@ -148,14 +148,14 @@ def quantile_text(q: float) -> str:
 def estimates(plan: Plan, table: DataFrame) -> DataFrame:
     """One row per series, window and quantile (its label ``quantile``), or one with the distinct count; null payloads."""
     s = sketch_of(plan)
-    totals = _totals(plan, table)
+    maps = ("resource", "attrs")
     none, unspecified = F.lit(None).cast("binary"), F.lit("UNSPECIFIED")
     if isinstance(s, HyperLogLog):
-        rows = s.estimate(table, KEYS).join(totals, list(KEYS))
+        rows = s.estimate(table, KEYS, maps)
         return _envelope(plan, rows, none, unspecified, F.col("estimate"))
     if isinstance(s, Frequency):
         raise PlanError(f"{plan.sketch_type} has no scalar estimate to emit")
-    rows = s.quantiles(table, KEYS, plan.quantiles).join(totals, list(KEYS))
+    rows = s.quantiles(table, KEYS, plan.quantiles, maps)
     names = F.create_map(*[x for q in plan.quantiles for x in (F.lit(float(q)), F.lit(quantile_text(float(q))))])
     return _envelope(plan, rows, none, unspecified, F.col("value"), F.map_concat("attrs", F.create_map(F.lit("quantile"), names[F.col("q")])))
 

@@ -50,18 +50,21 @@ class DDSketch:
     def value(self, sign: Column, bucket: Column) -> Column:
         return sign * 2 * F.pow(F.lit(self.gamma), bucket) / (self.gamma + 1)
 
-    def quantiles(self, cells: DataFrame, keys: Keys, qs: Sequence[float]) -> DataFrame:
+    def quantiles(self, cells: DataFrame, keys: Keys, qs: Sequence[float], maps: Sequence[str] = ()) -> DataFrame:
         """(keys..., q, value, total): for each q the value of the first bucket whose running count exceeds q (n - 1).
 
-        q is clamped to [0, 1]; a key without values has no rows.
+        q is clamped to [0, 1]; a key without values has no rows.  With ``maps`` also ``n``, the number of all points of
+        the key, and these columns, which are the same on all its rows or any one of theirs.
         """
         w = Window.partitionBy(*keys)  # at most the buckets of one sketch
-        rows = cells.where("sign is not null and w > 0").withColumn("_upto", F.sum("w").over(w.orderBy("sign", F.col("sign") * F.col("bucket"))))
-        rows = rows.withColumn("total", F.sum("w").over(w))
+        counted = F.when(F.col("sign").isNotNull(), F.col("w")).otherwise(0)
+        more = {"_n": F.sum("n").over(w)} | {f"_map_{m}": F.first(m).over(w) for m in maps} if maps else {}
+        rows = cells.withColumns({"_upto": F.sum(counted).over(w.orderBy("sign", F.col("sign") * F.col("bucket"))), "total": F.sum(counted).over(w)} | more)
         asked = F.inline(F.array(*[F.struct(F.lit(float(q)).alias("q")) for q in qs]))
         at = F.least(F.greatest(F.col("q"), F.lit(0.0)), F.lit(1.0)) * (F.col("total") - 1)
-        rows = rows.select("*", asked).where((F.col("_upto") - F.col("w") <= at) & (at < F.col("_upto")))
-        return rows.select(*keys, "q", self.value(F.col("sign"), F.col("bucket")).alias("value"), "total")
+        rows = rows.where("sign is not null and w > 0").select("*", asked).where((F.col("_upto") - F.col("w") <= at) & (at < F.col("_upto")))
+        kept = [F.col("_n").alias("n"), *[F.col(f"_map_{m}").alias(m) for m in maps]] if maps else []
+        return rows.select(*keys, "q", self.value(F.col("sign"), F.col("bucket")).alias("value"), "total", *kept)
 
 
 @dataclass(frozen=True)
@@ -86,15 +89,20 @@ class HyperLogLog:
     def merge(self, cells: DataFrame, keys: Keys, extra: Sequence[Column] = ()) -> DataFrame:
         return cells.groupBy(*keys, *self.cell).agg(F.max("w").alias("w"), F.sum("n").alias("n"), *extra)
 
-    def estimate(self, cells: DataFrame, keys: Keys) -> DataFrame:
-        """(keys..., estimate): harmonic mean, or linear counting while registers are empty and the count is small."""
+    def estimate(self, cells: DataFrame, keys: Keys, maps: Sequence[str] = ()) -> DataFrame:
+        """(keys..., estimate): harmonic mean, or linear counting while registers are empty and the count is small.
+
+        With ``maps`` also ``n``, the number of all points of the key, and these columns.
+        """
         m = 1 << self.precision
         bias = {16: 0.673, 32: 0.697, 64: 0.709}.get(m, 0.7213 / (1 + 1.079 / m))
-        used = cells.where("idx is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("_used"), F.sum(F.pow(F.lit(2.0), -F.col("w"))).alias("_sum"))
+        more = [F.sum("n").alias("n"), *[F.any_value(m).alias(m) for m in maps]] if maps else []
+        some = F.col("idx").isNotNull()
+        used = cells.groupBy(*keys).agg(F.count(F.when(some, 1)).alias("_used"), F.coalesce(F.sum(F.when(some, F.pow(F.lit(2.0), -F.col("w")))), F.lit(0.0)).alias("_sum"), *more)
         raw = F.lit(bias * m * m) / (F.col("_sum") + (m - F.col("_used")))
         small = (raw <= 2.5 * m) & (F.col("_used") < m)
         linear = m * F.log(m / (m - F.col("_used")).cast("double"))
-        return used.select(*keys, F.when(small, linear).otherwise(raw).alias("estimate"))
+        return used.where("_used > 0").select(*keys, F.when(small, linear).otherwise(raw).alias("estimate"), *(["n", *maps] if maps else []))
 
 
 @dataclass(frozen=True)
@@ -164,8 +172,8 @@ class Kll:
         """Weights of the items are kept, so that merged sketches are as good as one over all the data."""
         return sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"), *extra)
 
-    def quantiles(self, sketches: DataFrame, keys: Keys, qs: Sequence[float]) -> DataFrame:
+    def quantiles(self, sketches: DataFrame, keys: Keys, qs: Sequence[float], maps: Sequence[str] = ()) -> DataFrame:
         at = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(min(max(float(q), 0.0), 1.0)))
         asked = F.inline(F.array(*[F.struct(F.lit(float(q)).alias("q"), at(q).alias("value")) for q in qs]))
         some = sketches.where(F.kll_sketch_get_n_double("sketch") > 0)
-        return some.select(*keys, asked, F.col("n").alias("total"))
+        return some.select(*keys, asked, F.col("n").alias("total"), *(["n", *maps] if maps else []))
