@@ -7,8 +7,10 @@ Three layers over one master log of first arrivals:
     cut-off (end + allowed lateness) has passed, and writes out the records that came after it.
 *   ``serve`` merges the frozen periods, the open ones of the last batch, and the fast increments since then.
 
-Times are those of arrival; run r takes what arrived up to ``r * interval_ms``.  The log is partitioned by run, so a run
-reads its new records in one folder and the open periods by the event times in the files' statistics.
+Times are those of arrival; run r takes what arrived up to ``r * interval_ms``.  The log holds one folder per batch (a call
+of ``ingest`` or a micro-batch of the stream), partitioned by run, so a run reads its new records in few folders and the
+open periods by the event times in the files' statistics.  A batch leaves out the copies of observations that the log has
+at the same or an earlier arrival; one that arrived earlier than the log knew is added and counts instead of the other.
 
 A plan with no cut-off (allowed lateness 0) has no period that ever freezes.  Its aggregates (counts, extremes) only ever
 grow, so a run adds the new arrivals' part to them instead of computing all of history again.
@@ -16,13 +18,15 @@ grow, so a run adds the new arrivals' part to them instead of computing all of h
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import repeat
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewell.storage import local_table, new_path
+from gaugewell.storage import local_table, mark, names, new_path
 
 #: Event times beyond it, in either direction, are in no window, so that sums of times can't overflow.
 _FAR = 1 << 61
@@ -30,9 +34,15 @@ _FAR = 1 << 61
 MOST_PLANS = 100_000
 #: Runs of a replay that are at work at the same time.
 AT_ONCE = 4
-LOG = "obs_id bigint, metric string, event_ms bigint, arrival_ms bigint, value double, run bigint"
+#: ``known_ms``: the arrival of the copy that the log had before, null if it had none.
+LOG = "obs_id bigint, metric string, event_ms bigint, arrival_ms bigint, value double, known_ms bigint, batch string, run bigint"
 VIEW = "agg_id bigint, window_start_ms bigint, n_obs bigint, n_values bigint, min_value double, max_value double"
 LATE = "agg_id bigint, window_start_ms bigint, obs_id bigint"
+#: What makes an observation one, with its copies.
+_SAME = ["obs_id", "metric", "event_ms"]
+_IN_TIME = "(cutoff is null or arrival_ms <= cutoff)"
+#: In time, and not counted in this window at the arrival that was known before.
+_MORE = f"{_IN_TIME} and (known_ms is null or known_ms > cutoff)"
 
 
 @dataclass(frozen=True)
@@ -59,6 +69,11 @@ def window_starts(ts: Column, size: Column, step: Column) -> Column:
     return F.when(first <= last, F.sequence(first, last, step)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _alone() -> Column:
+    """Tells the rows without an id apart."""
+    return F.when(F.col("obs_id").isNull(), F.monotonically_increasing_id()).alias("_alone")
+
+
 @dataclass
 class LambdaViews:
     """See the module.  ``folder`` holds the log, the views and the late records; a new one in the shared folder if None."""
@@ -83,11 +98,10 @@ class LambdaViews:
         A row without an arrival counts as having arrived at its event time.  ``value`` is the float of Float rows.
         Null and 0 event times lie in no window, so those rows aren't kept.
         """
-        alone = F.when(F.col("obs_id").isNull(), F.monotonically_increasing_id())
         return (
             observations.select(
                 "obs_id", "metric", F.col("timestamp_ms").alias("event_ms"), F.coalesce("received_ms", "timestamp_ms").alias("_at"),
-                F.when(F.col("kind") == "Float", F.col("float")).alias("value"), alone.alias("_alone"),
+                F.when(F.col("kind") == "Float", F.col("float")).alias("value"), _alone(),
             )
             .where((F.col("event_ms") != 0) & F.col("event_ms").between(-_FAR, _FAR))
             .join(F.broadcast(self._plans.select("metric").distinct()), "metric", "left_semi")  # at most MOST_PLANS rows
@@ -96,11 +110,53 @@ class LambdaViews:
         )
 
     def ingest(self, observations: DataFrame) -> None:
-        """Add to the master log.  All copies of an observation must come in one call."""
-        self.first_arrivals(observations).write.mode("append").partitionBy("run").parquet(f"{self.folder}/log")
-
-    def log(self) -> DataFrame:
-        return self.spark.read.schema(LOG).parquet(f"{self.folder}/log")
+        """Add to the master log, as a batch of its own.  Copies of an observation may come in any call."""
+        name = f"i{uuid.uuid4().hex}"
+        self._add(observations, name)
+        mark(self.spark, f"{self.folder}/batches/{name}")
+
+    def _add(self, observations: DataFrame, name: str) -> None:
+        """Write a batch of the log; it is part of the log once it is marked as whole."""
+        rows = self.first_arrivals(observations)
+        if self._batches():
+            known = self.log().where("obs_id is not null").groupBy(*_SAME).agg(F.min("arrival_ms").alias("known_ms"))
+            rows = rows.join(known, _SAME, "left").where("known_ms is null or arrival_ms < known_ms")
+        else:
+            rows = rows.withColumn("known_ms", F.lit(None).cast("bigint"))
+        rows.write.mode("overwrite").partitionBy("run").parquet(f"{self.folder}/log/batch={name}")
+
+    def _batches(self) -> list[str]:
+        """The batches of the log that are whole."""
+        return names(self.spark, f"{self.folder}/batches")
+
+    def log(self, batches: list[str] | None = None) -> DataFrame:
+        """The rows of these batches, all if None: an observation has more than one if a later batch knew an earlier arrival."""
+        paths = [f"{self.folder}/log/batch={b}" for b in (self._batches() if batches is None else batches)]
+        if not paths:
+            return local_table(self.spark, [], LOG)
+        return self.spark.read.schema(LOG).option("basePath", f"{self.folder}/log").parquet(*paths)
+
+    def _observations(self, r: int | None, since: int | None, batches: list[str], reach: int = 0) -> tuple[DataFrame, DataFrame]:
+        """Of what arrived up to run r (None: all): one row per observation, and those of them that are new since a run.
+
+        New are those that the run didn't have, and those that it had at a later arrival, ``known_ms``.  Events more than
+        ``reach`` before that run are only looked at as far as a new row is as old.
+        """
+        rows = self.log(batches)
+        if r is not None:
+            rows = rows.where(F.col("run") <= r)
+        taken = F.lit(False) if since is None else F.col("run") <= since
+        if len(batches) < 2:  # a batch has an observation once
+            rows = rows.withColumn("known_ms", F.lit(None).cast("bigint"))
+            return rows, rows.where(~taken)
+        if since is not None:
+            low = rows.where(~taken).agg(F.min("event_ms")).first()[0]
+            bound = since * self.interval_ms - reach
+            rows = rows.where(F.col("event_ms") >= (bound if low is None else min(bound, low)))
+        once = rows.groupBy(*_SAME, _alone()).agg(
+            F.min("arrival_ms").alias("arrival_ms"), F.max("value").alias("value"), F.min(F.when(taken, F.col("arrival_ms"))).alias("known_ms")
+        )
+        return once, once.where("known_ms is null or arrival_ms < known_ms")
 
     # Windows
 
@@ -138,23 +194,22 @@ class LambdaViews:
         """The scheduled batch at ``r * interval_ms``; runs come in rising order."""
         if self.done and r <= self.done[-1]:
             raise ValueError("runs come in rising order")
-        self._run(r, self.done[-1] if self.done else None)
+        self._run(r, self.done[-1] if self.done else None, self._batches())
         self.done.append(r)
 
-    def _run(self, r: int, since: int | None) -> None:
+    def _run(self, r: int, since: int | None, batches: list[str]) -> None:
         now = r * self.interval_ms
-        log = self.log().where(F.col("run") <= r)
-        new = log if since is None else log.where(F.col("run") > since)
-        self._too_late(new).write.mode("overwrite").parquet(f"{self.folder}/late/at={r}")
+        reach = max((p.size_ms + p.lateness_ms for p in self.plans if p.lateness_ms > 0), default=0)
+        log, new = self._observations(r, since, batches, reach)
+        self._too_late(new.where("known_ms is null")).write.mode("overwrite").parquet(f"{self.folder}/late/at={r}")
 
         rows = self._windows(log)
         if since is not None:
             was = since * self.interval_ms
-            reach = max((p.size_ms + p.lateness_ms for p in self.plans if p.lateness_ms > 0), default=0)
             open_ = self._windows(log.where(F.col("event_ms") >= was - reach)).where(F.col("cutoff") > was)
-            rows = open_.unionByName(self._windows(new).where("cutoff is null"))
+            rows = open_.unionByName(self._windows(new.where("known_ms is null")).where("cutoff is null"))
         state = F.when(F.col("cutoff").isNull(), "grown").when(F.col("cutoff") <= now, "frozen").otherwise("open")
-        kept = rows.where("cutoff is null or arrival_ms <= cutoff").withColumn("state", state)
+        kept = rows.where(_IN_TIME).withColumn("state", state)
         self._aggregate(kept, "state").write.mode("overwrite").partitionBy("state").parquet(f"{self.folder}/views/at={r}")
 
     def replay(self) -> LambdaViews:
@@ -162,10 +217,11 @@ class LambdaViews:
 
         A run reads the log up to its own time and nothing that other runs wrote, so a few run at once.
         """
-        first, last = self.log().agg(F.min("run"), F.max("run")).first()
+        batches = self._batches()
+        first, last = self.log(batches).agg(F.min("run"), F.max("run")).first()
         runs = [r for r in range(first, last + 1) if not self.done or r > self.done[-1]] if first is not None else []
         with ThreadPoolExecutor(AT_ONCE) as pool:
-            list(pool.map(self._run, runs, [*self.done[-1:], *runs] if self.done else [None, *runs]))
+            list(pool.map(self._run, runs, [*self.done[-1:], *runs] if self.done else [None, *runs], repeat(batches)))
         self.done += runs
         return self
 
@@ -179,14 +235,13 @@ class LambdaViews:
     def fast(self, arrivals: DataFrame, now_ms: int) -> DataFrame:
         """The increments of arrivals since the last run up to now: provisional until the next run replaces them."""
         rows = self._windows(arrivals.where(F.col("arrival_ms") <= now_ms))
-        return self._aggregate(rows.where("cutoff is null or arrival_ms <= cutoff"))
+        return self._aggregate(rows.where(_MORE))
 
     def serve(self, now_ms: int | None = None) -> DataFrame:
         """The periods as known now: frozen, open and fast ones merged."""
         out = self._views("frozen", self.done).unionByName(self._views("grown", self.done)).unionByName(self._views("open", self.done[-1:]))
         if now_ms is not None:
-            last = self.done[-1] if self.done else None
-            new = self.log() if last is None else self.log().where(F.col("run") > last)
+            _, new = self._observations(None, self.done[-1] if self.done else None, self._batches())
             out = out.unionByName(self.fast(new, now_ms))
         return self.merge(out)
 
@@ -197,18 +252,19 @@ class LambdaViews:
         return self.spark.read.schema(LATE).parquet(*[f"{self.folder}/late/at={r}" for r in self.done])
 
     def fast_stream(self, observations: DataFrame, **options):
-        """The fast layer over a live source: every micro-batch is added to the log and its increments are written.
+        """The fast layer over a live source: every micro-batch is a batch of the log, and its increments are written.
 
-        A batch that is tried again overwrites its own folders, so nothing counts twice.  Copies of one observation in
-        different batches are told apart by the stream's own state, bounded by the longest lateness.
+        So runs, ``serve`` and ``late`` have it as they have what is ingested.  A batch that is tried again overwrites its
+        own folders, so nothing counts twice.  Copies in different batches are told apart by the log, rows without an id
+        are each their own, and nothing is dropped for its arrival.  One stream writes to a folder.
         """
-        horizon = max([p.size_ms + p.lateness_ms for p in self.plans], default=0)
-        timed = observations.withColumn("_event", F.timestamp_millis(F.col("received_ms")))
-        once = timed.withWatermark("_event", f"{horizon} milliseconds").dropDuplicatesWithinWatermark(["obs_id"]).drop("_event")
 
         def write(batch: DataFrame, number: int) -> None:
-            rows = self.first_arrivals(batch)
-            rows.write.mode("overwrite").parquet(f"{self.folder}/arrivals/batch={number}")
-            self.fast(self.spark.read.schema(LOG).parquet(f"{self.folder}/arrivals/batch={number}"), _FAR).write.mode("overwrite").parquet(f"{self.folder}/fast/batch={number}")
-
-        return once.writeStream.foreachBatch(write).option("checkpointLocation", f"{self.folder}/stream").options(**options)
+            name = f"s{number}"
+            if name in self._batches():
+                return
+            self._add(batch, name)
+            self.fast(self.log([name]), _FAR).write.mode("overwrite").parquet(f"{self.folder}/fast/batch={number}")
+            mark(self.spark, f"{self.folder}/batches/{name}")
+
+        return observations.writeStream.foreachBatch(write).option("checkpointLocation", f"{self.folder}/stream").options(**options)

@@ -48,6 +48,24 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Spark resolves them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file, by which others see that something is whole."""
+    files, at = _files(spark, path)
+    files.create(at, True).close()
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder, in order; none if it isn't there."""
+    files, at = _files(spark, folder)
+    return sorted(s.getPath().getName() for s in files.listStatus(at)) if files.exists(at) else []
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table of the driver's (plans, declared keys) as a local relation: its size is known and it needs no job."""
     struct = _parse_datatype_string(schema)

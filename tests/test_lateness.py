@@ -105,3 +105,21 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = LambdaViews.merge(spark.read.parquet(f"{views.folder}/fast/batch=*"))
     assert view_of(got) == {(3, 0): (3, 2, 1.0, 5.0), (3, 40): (1, 1, 3.0, 3.0)}
+
+
+def test_stream_then_runs_and_views(spark, tmp_path):
+    data = rows(300, 11)
+    assert any(r[0] is None for r in data)
+    for k in range(4):
+        spark.createDataFrame(data[k::4], OBS).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    views = LambdaViews(spark, window_plans(spark.createDataFrame(PLAN_ROWS, PLANS)), 700, str(tmp_path / "views"))
+    source = spark.readStream.schema(OBS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    views.fast_stream(source).trigger(availableNow=True).start().awaitTermination(240)
+    assert view_of(views.serve(1400)) == brute(data, PLAN_ROWS[:6], 1400)[1]
+    for r in range(-1, 3):
+        views.run(r)
+    assert view_of(views.serve(1750)) == brute(data, PLAN_ROWS[:6], 1750)[1]
+    views.replay()
+    late, view = brute(data, PLAN_ROWS[:6])
+    assert {tuple(r) for r in views.late().collect()} == late and late
+    assert view_of(views.serve()) == view
