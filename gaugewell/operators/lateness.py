@@ -4,7 +4,9 @@ Three layers over one master log of first arrivals:
 
 *   The fast layer adds new arrivals to provisional periods as increments (``fast``; ``fast_stream`` for a live source).
 *   The scheduled batch (``run``) recomputes every open period from the log, replaces it, freezes the periods whose
-    cut-off (end + allowed lateness) has passed, and writes out the records that came after it.
+    cut-off (end + allowed lateness) has passed, and writes out the records that came after it.  What is new to a run goes
+    by the batches of the log that earlier runs had, not by arrival: a record that arrived in time but was ingested after
+    its period froze is added to the frozen period by the next run, and ``amended`` names it.
 *   ``serve`` merges the frozen periods, the open ones of the last batch, and the fast increments since then.
 
 Times are those of arrival; run r takes what arrived up to ``r * interval_ms``.  The log holds one folder per batch (a call
@@ -83,8 +85,11 @@ class LambdaViews:
     interval_ms: int = 86_400_000
     folder: str | None = None
     done: list[int] = field(default_factory=list)  # the runs so far, rising
+    seen: list[str] = field(default_factory=list)  # the batches of the log that the last run had; goes with done
 
     def __post_init__(self) -> None:
+        if self.done and not self.seen:
+            raise ValueError("done needs seen, the batches that the last run had")
         self.folder = self.folder or new_path(self.spark, "views")
         rows = [(p.metric, p.agg_id, p.size_ms, p.step_ms, p.lateness_ms) for p in self.plans]
         self._plans = local_table(self.spark, rows, "metric string, agg_id bigint, size bigint, step bigint, lateness bigint")
@@ -136,8 +141,9 @@ class LambdaViews:
             return local_table(self.spark, [], LOG)
         return self.spark.read.schema(LOG).option("basePath", f"{self.folder}/log").parquet(*paths)
 
-    def _observations(self, r: int | None, since: int | None, batches: list[str], reach: int = 0) -> tuple[DataFrame, DataFrame]:
-        """Of what arrived up to run r (None: all): one row per observation, and those of them that are new since a run.
+    def _observations(self, r: int | None, since: int | None, batches: list[str], seen: list[str], reach: int = 0) -> tuple[DataFrame, DataFrame]:
+        """Of what arrived up to run r (None: all): one row per observation, and those of them that are new since a run,
+        which had the batches ``seen``.
 
         New are those that the run didn't have, and those that it had at a later arrival, ``known_ms``.  Events more than
         ``reach`` before that run are only looked at as far as a new row is as old.
@@ -145,7 +151,7 @@ class LambdaViews:
         rows = self.log(batches)
         if r is not None:
             rows = rows.where(F.col("run") <= r)
-        taken = F.lit(False) if since is None else F.col("run") <= since
+        taken = F.lit(False) if since is None else (F.col("run") <= since) & F.col("batch").isin(seen)
         if len(batches) < 2:  # a batch has an observation once
             rows = rows.withColumn("known_ms", F.lit(None).cast("bigint"))
             return rows, rows.where(~taken)
@@ -194,35 +200,49 @@ class LambdaViews:
         """The scheduled batch at ``r * interval_ms``; runs come in rising order."""
         if self.done and r <= self.done[-1]:
             raise ValueError("runs come in rising order")
-        self._run(r, self.done[-1] if self.done else None, self._batches())
+        batches = self._batches()
+        self._run(r, self.done[-1] if self.done else None, batches, self.seen)
         self.done.append(r)
+        self.seen = batches
 
-    def _run(self, r: int, since: int | None, batches: list[str]) -> None:
+    def _run(self, r: int, since: int | None, batches: list[str], seen: list[str]) -> None:
         now = r * self.interval_ms
         reach = max((p.size_ms + p.lateness_ms for p in self.plans if p.lateness_ms > 0), default=0)
-        log, new = self._observations(r, since, batches, reach)
+        log, new = self._observations(r, since, batches, seen, reach)
         self._too_late(new.where("known_ms is null")).write.mode("overwrite").parquet(f"{self.folder}/late/at={r}")
 
         rows = self._windows(log)
         if since is not None:
             was = since * self.interval_ms
             open_ = self._windows(log.where(F.col("event_ms") >= was - reach)).where(F.col("cutoff") > was)
-            rows = open_.unionByName(self._windows(new.where("known_ms is null")).where("cutoff is null"))
+            more = self._windows(new)
+            if set(batches) <= set(seen):  # nothing that arrived before that run is new
+                more = more.where("cutoff is null")
+            else:
+                more = more.where(F.col("cutoff").isNull() | (F.col("cutoff") <= was)).where(_MORE)
+                gone = more.where("cutoff is not null").select("agg_id", "window_start_ms", "obs_id")
+                gone.write.mode("overwrite").parquet(f"{self.folder}/amended/at={r}")
+            rows = open_.unionByName(more)
         state = F.when(F.col("cutoff").isNull(), "grown").when(F.col("cutoff") <= now, "frozen").otherwise("open")
         kept = rows.where(_IN_TIME).withColumn("state", state)
         self._aggregate(kept, "state").write.mode("overwrite").partitionBy("state").parquet(f"{self.folder}/views/at={r}")
 
     def replay(self) -> LambdaViews:
-        """All scheduled runs up to the last arrival in the log, as they would have happened.
+        """All scheduled runs up to the last arrival in the log, as they would have happened; one more run if what was
+        ingested since the last one all arrived before it.
 
         A run reads the log up to its own time and nothing that other runs wrote, so a few run at once.
         """
         batches = self._batches()
         first, last = self.log(batches).agg(F.min("run"), F.max("run")).first()
         runs = [r for r in range(first, last + 1) if not self.done or r > self.done[-1]] if first is not None else []
+        if not runs and self.done and not set(batches) <= set(self.seen):
+            runs = [self.done[-1] + 1]
         with ThreadPoolExecutor(AT_ONCE) as pool:
-            list(pool.map(self._run, runs, [*self.done[-1:], *runs] if self.done else [None, *runs], repeat(batches)))
-        self.done += runs
+            list(pool.map(self._run, runs, [*self.done[-1:], *runs] if self.done else [None, *runs], repeat(batches), [self.seen, *[batches] * len(runs)]))
+        if runs:
+            self.done += runs
+            self.seen = batches
         return self
 
     def _views(self, state: str, runs: list[int]) -> DataFrame:
@@ -241,15 +261,28 @@ class LambdaViews:
         """The periods as known now: frozen, open and fast ones merged."""
         out = self._views("frozen", self.done).unionByName(self._views("grown", self.done)).unionByName(self._views("open", self.done[-1:]))
         if now_ms is not None:
-            _, new = self._observations(None, self.done[-1] if self.done else None, self._batches())
+            _, new = self._observations(None, self.done[-1] if self.done else None, self._batches(), self.seen)
             out = out.unionByName(self.fast(new, now_ms))
         return self.merge(out)
 
     def late(self) -> DataFrame:
-        """(agg_id, window_start_ms, obs_id) of the records that came after the cut-off, of the runs so far."""
+        """(agg_id, window_start_ms, obs_id) of the records that came after the cut-off, of the runs so far.
+
+        Without those of which a copy that came in time was ingested later.
+        """
         if not self.done:
             return local_table(self.spark, [], LATE)
-        return self.spark.read.schema(LATE).parquet(*[f"{self.folder}/late/at={r}" for r in self.done])
+        out = self.spark.read.schema(LATE).parquet(*[f"{self.folder}/late/at={r}" for r in self.done])
+        return out.join(self.amended(), ["agg_id", "window_start_ms", "obs_id"], "left_anti") if self._amending() else out
+
+    def _amending(self) -> list[str]:
+        have = set(names(self.spark, f"{self.folder}/amended"))
+        return [f"{self.folder}/amended/at={r}" for r in self.done if f"at={r}" in have]
+
+    def amended(self) -> DataFrame:
+        """(agg_id, window_start_ms, obs_id) of the records in time that were added to periods after these had frozen."""
+        paths = self._amending()
+        return self.spark.read.schema(LATE).parquet(*paths) if paths else local_table(self.spark, [], LATE)
 
     def fast_stream(self, observations: DataFrame, **options):
         """The fast layer over a live source: every micro-batch is a batch of the log, and its increments are written.

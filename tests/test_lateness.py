@@ -123,3 +123,28 @@ def test_stream_then_runs_and_views(spark, tmp_path):
     late, view = brute(data, PLAN_ROWS[:6])
     assert {tuple(r) for r in views.late().collect()} == late and late
     assert view_of(views.serve()) == view
+
+
+def test_what_is_ingested_after_its_run(spark):
+    data = rows(300, 5)
+    views = LambdaViews(spark, window_plans(spark.createDataFrame(PLAN_ROWS, PLANS)), 700)
+    views.ingest(spark.createDataFrame(data[::3], OBS))
+    for r in range(-1, 4):
+        views.run(r)
+    frozen = {(a, s) for a, _, size, _, late, _ in PLAN_ROWS[:4] for s in range(-600, 3000) if late and s + size + late <= 3 * 700}
+    views.ingest(spark.createDataFrame(data[1::3], OBS))
+    views.ingest(spark.createDataFrame(data[2::3], OBS))
+    assert view_of(views.serve(2400)) == brute(data, PLAN_ROWS[:6], 2400)[1]
+    views.run(4)
+    amended = views.amended().collect()
+    assert amended and {(r.agg_id, r.window_start_ms) for r in amended} <= frozen
+    before, after = (sum(v[0] for k, v in brute(d, PLAN_ROWS[:6])[1].items() if k in frozen) for d in (data[::3], data))
+    assert len(amended) == after - before
+    views.replay()
+    late, view = brute(data, PLAN_ROWS[:6])
+    assert {tuple(r) for r in views.late().collect()} == late and late
+    assert view_of(views.serve()) == view
+    views.ingest(spark.createDataFrame([(9999, 1500, 1510, "b", "Float", 9.0, "")], OBS))
+    assert view_of(views.replay().serve()) == brute([*data, (9999, 1500, 1510, "b", "Float", 9.0, "")], PLAN_ROWS[:6])[1]
+    with pytest.raises(ValueError):
+        LambdaViews(spark, [], 700, views.folder, done=[1])
