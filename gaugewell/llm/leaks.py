@@ -98,18 +98,24 @@ def word_offsets(text: str) -> list[tuple[int, int]]:
 
 
 class Automaton:
-    """All runs of ``min_words`` words of the items: item k is (key, text)."""
+    """All runs of ``min_words`` words of the items: item k is ((id, field), text).
 
-    def __init__(self, items: list[tuple[object, str]], min_words: int):
+    Fields named by ``whole`` that have fewer words are looked for as they are, in texts that have a run of the same id.
+    """
+
+    def __init__(self, items: list[tuple[tuple[object, str], str]], min_words: int, whole: tuple[str, ...] = ()):
         import ahocorasick
 
         self.items, self.size = items, min_words
         self.numbers: dict[str, int] = {}
         runs: dict[tuple, set[int]] = {}
-        for k, (_, text) in enumerate(items):
+        self.short: dict[object, dict[tuple, int]] = {}
+        for k, ((item, field), text) in enumerate(items):
             ids = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text))
             for i in range(len(ids) - min_words + 1):
                 runs.setdefault(ids[i : i + min_words], set()).add(k)
+            if field in whole and 0 < len(ids) < min_words:
+                self.short.setdefault(item, {}).setdefault((field, ids), k)
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for run, owners in runs.items():
             self.machine.add_word(run, tuple(sorted(owners)))
@@ -118,7 +124,7 @@ class Automaton:
         self.empty = not runs
 
     def scan(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, first word, last word) of each longest shared passage."""
+        """(item, first word, last word) of each longest shared passage, and of each place of a short field beside one."""
         if self.empty:
             return []
         words = words_of(text)
@@ -136,30 +142,36 @@ class Automaton:
                     if at is not None:
                         done.append((k, *at))
                     open_[k] = [end - self.size + 1, end]
-        return done + [(k, *at) for k, at in open_.items()]
+        done += [(k, *at) for k, at in open_.items()]
+        for item in {self.items[k][0][0] for k, _, _ in done} & self.short.keys():
+            for (_, ids), k in self.short[item].items():
+                done += [(k, i, i + len(ids) - 1) for i, n in enumerate(numbers) if n == ids[0] and numbers[i : i + len(ids)] == ids]
+        return done
 
 
 _MACHINES: dict[str, Automaton] = {}
 
 
-def _machine(key: str, items: list[tuple[object, str]], min_words: int) -> Automaton:
+def _machine(key: str, items: list[tuple[tuple[object, str], str]], min_words: int, whole: tuple[str, ...]) -> Automaton:
     """One automaton a worker is kept, that of the block it scans."""
     if key not in _MACHINES:
         _MACHINES.clear()
-        _MACHINES[key] = Automaton(items, min_words)
+        _MACHINES[key] = Automaton(items, min_words, whole)
     return _MACHINES[key]
 
 
 def find_leaks(
     df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     fields: tuple[str, ...] = ("prompt", "answer"), min_words: int = 12, offsets: bool = True, block_chars: int = BLOCK_CHARS,
+    whole: tuple[str, ...] = (),
 ) -> DataFrame:
     """Every passage of at least ``min_words`` consecutive words that a text shares with a field of an item.
 
     With ``offsets``: id, item id, field, words, start_char and end_char (code points of the text as stored, end
     exclusive), one row for each longest passage; otherwise the distinct (id, item id).
 
-    Null and empty texts and fields share nothing, and neither does a field of fewer words.  Repeated rows are found as
+    A field of fewer words shares nothing, unless ``whole`` names it: then each place of it, as a whole, in a text that
+    shares a passage with the same item is a row too.  Null and empty texts and fields share nothing.  Repeated rows are found as
     often as they occur with offsets, once without.  Items of one id count as one.  Columns not named are not read; if both ids have one name, that of the item
     gets ``item_`` before it.
 
@@ -181,12 +193,12 @@ def find_leaks(
     types = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
     out = None
     for block in range(blocks):
-        rows = flat.where(F.pmod(F.xxhash64(item_col, "field"), F.lit(blocks)) == block).collect()
+        rows = flat.where(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == block).collect()
         held = [((r[0], r[1]), r[2]) for r in rows]
-        key = hashlib.sha256(repr((held, min_words)).encode("utf-8", "surrogatepass")).hexdigest()
+        key = hashlib.sha256(repr((held, min_words, whole)).encode("utf-8", "surrogatepass")).hexdigest()
 
         def run(batches: Iterator[pa.RecordBatch], held=held, key=key) -> Iterator[pa.RecordBatch]:
-            machine = _machine(key, held, min_words)
+            machine = _machine(key, held, min_words, whole)
             for batch in batches:
                 owner, cols = [], [[] for _ in names[1:]]
                 for k in range(batch.num_rows):

@@ -23,10 +23,13 @@ def p7_found(spark, sf_dir):
 
 
 def p7_passages(spark, sf_dir):
-    """Every shared passage of a prompt or an answer, with its place in the text as stored."""
+    """Every shared passage of a prompt or an answer, with its place in the text as stored.
+
+    An answer of fewer than 12 words counts as a whole, beside a passage of its own item.
+    """
     from gaugewell.llm.leaks import find_leaks
 
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), whole=("answer",))
 
 
 def p8_found(spark, sf_dir):

@@ -72,3 +72,20 @@ def test_long_text_and_no_rows(spark):
     assert (r.start_char, r.end_char) == (600_000, 600_000 + len(run))
     assert find_leaks(df, it.limit(0), fields=("prompt",)).collect() == []
     assert find_leaks(df.limit(0), it, fields=("prompt",), offsets=False).collect() == []
+
+
+def test_short_answers_beside_their_prompt(spark, tmp_path):
+    from gaugewell.llm.queries import p7_passages
+
+    run = [" ".join(f"{c}{i}" for i in range(14)) for c in "pq"]
+    texts = [f"Answer: FORTY-Two. {run[0]} is 7, forty​ two", f"{run[1]} 42, 7", "forty two 7", f"{run[0]} {run[1]} forty-two forty two 42"]
+    items = [(1, run[0], "forty two"), (2, run[1], "42"), (3, "7 and more", "7"), (4, run[1], None), (2, run[1], " 42!")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    it = spark.createDataFrame(items, "item_id bigint, prompt string, answer string")
+    it.write.parquet(f"{tmp_path}/eval_items.parquet")
+    rows = p7_passages(spark, str(tmp_path)).collect()
+    got = sorted((r.doc_id, r.item_id, r.words, texts[r.doc_id][r.start_char : r.end_char]) for r in rows if r.field == "answer")
+    assert got == [(0, 1, 2, "FORTY-Two"), (0, 1, 2, "forty​ two"), (1, 2, 1, "42"), (3, 1, 2, "forty two"), (3, 1, 2, "forty-two"), (3, 2, 1, "42")]
+    assert {(r.doc_id, r.item_id) for r in rows if r.field == "prompt"} == {(0, 1), (1, 2), (1, 4), (3, 1), (3, 2), (3, 4)}
+    blocks = find_leaks(spark.read.parquet(f"{tmp_path}/documents.parquet"), it, block_chars=50, whole=("answer",)).collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, rows))
