@@ -97,12 +97,12 @@ def p3_distinct(spark, sf_dir):
 
 
 def p3_day_to_day(spark, sf_dir):
-    """Union, intersection and differences of the identifiers of consecutive days, per plan and label value."""
+    """Union, intersection and differences of the identifiers of consecutive days, per plan, label value and combination."""
     from gaugewell.llm.distinct import KSmallest
 
     ks = KSmallest()
     sketches, _ = _visitor_sketches(spark, sf_dir, ks)
-    sketches = written(sketches.where("level <> 'combination' and day is not null"), "sketches")
+    sketches = written(sketches.where("day is not null"), "sketches")
     following = sketches.withColumn("day", F.col("day") - 1)
     out = ks.compare(sketches, following, ["metric", "day", "level", "labels"])
     return out.join(_hash_plans(spark, sf_dir), "metric").drop("metric")

@@ -138,3 +138,15 @@ def test_frequent_items(spark):
     merged = FrequentItems.merge(*[h.sketch() for h in half])
     assert merged.exceptAll(whole.sketch()).count() == 0
     assert FrequentItems(df.limit(0), "g", "b", "obs_id").find(0.02).collect() == []
+
+
+def test_day_to_day_has_the_combinations(spark, tmp_path):
+    from gaugewell.llm.queries import p3_day_to_day
+
+    rows = [("m", d * 86_400_000 + 5, "Hash", {"a": x, "b": y}, i) for d, x, y, i in [(1, "1", "1", 7), (1, "1", "1", 8), (2, "1", "1", 8), (2, "1", "2", 9), (3, "1", "1", 8)]]
+    spark.createDataFrame(rows, "metric string, timestamp_ms bigint, kind string, labels map<string,string>, hash bigint").write.parquet(f"{tmp_path}/observations.parquet")
+    spark.createDataFrame([(4, "m", "HLLSketch")], "agg_id bigint, metric string, sketch_type string").write.parquet(f"{tmp_path}/plan_configs.parquet")
+    got = p3_day_to_day(spark, str(tmp_path)).where("agg_id = 4 and level = 'combination' and op in ('union', 'intersection')").collect()
+    one, two = "a=1;b=1;", "a=1;b=2;"
+    want = {(0, one): (2, 0), (1, one): (2, 1), (2, one): (1, 1), (3, one): (1, 0), (1, two): (1, 0), (2, two): (1, 0)}
+    assert {(r.day, r.labels, r.op): r.estimate for r in got} == {(*k, op): v[n] for k, v in want.items() for n, op in enumerate(("union", "intersection"))}
