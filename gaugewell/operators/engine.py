@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from decimal import Decimal
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewell.errors import OTHER_PLAN, OTHER_SKETCH, OTHER_VERSION, PlanError
+from gaugewell.errors import OTHER_PLAN, OTHER_SKETCH, OTHER_VERSION, UNREADABLE, PlanError
 from gaugewell.functions.matchers import matches_all
 from gaugewell.functions.series import attributes_key, series_attrs, series_key
 from gaugewell.operators.sketches import DDSketch, Frequency, HyperLogLog, Kll
@@ -100,17 +102,32 @@ def _pack(plan: Plan, cell: Sequence[str], schema: str) -> Column:
     return F.nullif(text, F.lit("")).cast("binary")
 
 
+def _parsed(plan: Plan) -> Column:
+    """The cells of a payload; null, or with nulls in it, where it can't be read."""
+    text = F.col("payload").cast("string")
+    fields = [c.split() for c in sketch_of(plan).schema.split(", ")]
+    struct = lambda parts: F.when(F.size(parts) == len(fields), F.struct(*[F.get(parts, F.lit(k)).try_cast(t).alias(n) for k, (n, t) in enumerate(fields)]))
+    compact = F.transform(F.filter(F.split(text, ";"), lambda x: x != ""), lambda x: struct(F.split(x, ":")))
+    return F.when(F.col("encoding").startswith("MSGPACK"), compact).otherwise(F.from_json(text, f"array<struct<{', '.join(f'{n}:{t}' for n, t in fields)}>>"))
+
+
+def _readable(plan: Plan) -> Column:
+    """Whether a payload has cells and all of them are whole.  KLL binaries aren't looked at: a broken one is an error."""
+    s = sketch_of(plan)
+    if isinstance(s, Kll):
+        return F.lit(True)
+    needed = (s.cell[0], "w") if plan.sketch_type in CUSTOM else (*s.cell, "w")
+    whole = lambda c: reduce(and_, [c[n].isNotNull() for n in needed])
+    cells_ = _parsed(plan)
+    return F.coalesce((F.size(cells_) > 0) & F.forall(cells_, whole), F.lit(False))
+
+
 def unpack(plan: Plan, envelopes: DataFrame) -> DataFrame:
     """The cells of envelopes, with the columns of the envelopes; ``n`` is the envelope's count, on one of its cells."""
     s = sketch_of(plan)
     if isinstance(s, Kll):
         return envelopes.withColumn("sketch", F.col("payload")).withColumn("n", F.coalesce("count", F.lit(0)))
-    text = F.col("payload").cast("string")
-    names = [c.split()[0] for c in s.schema.split(", ")]
-    kinds = [c.split()[1] for c in s.schema.split(", ")]
-    compact = F.transform(F.filter(F.split(text, ";"), lambda x: x != ""), lambda x: F.struct(*[F.split(x, ":")[k].cast(t).alias(n) for k, (n, t) in enumerate(zip(names, kinds))]))
-    parsed = F.when(F.col("encoding").startswith("MSGPACK"), compact).otherwise(F.from_json(text, f"array<struct<{', '.join(f'{n}:{t}' for n, t in zip(names, kinds))}>>"))
-    rows = envelopes.select("*", F.posexplode(parsed).alias("_at", "_c"))
+    rows = envelopes.select("*", F.posexplode(_parsed(plan)).alias("_at", "_c"))
     return rows.select("*", "_c.*").withColumn("n", F.when(F.col("_at") == 0, F.coalesce("count", F.lit(0))).otherwise(0)).drop("_at", "_c")
 
 
@@ -179,15 +196,24 @@ def emit(plan: Plan, table: DataFrame) -> DataFrame:
 
 # The central tier
 
-def admission(plan: Plan, envs: DataFrame) -> DataFrame:
+def admission(plan: Plan, envs: DataFrame, payloads: bool = False) -> DataFrame:
     """Envelopes with the reason why the plan doesn't take them, null where it does.
 
     Plan ids and sketch types must be the same unless one side leaves them open (0, Unspecified); newer schema versions
-    aren't understood.
+    aren't understood.  With ``payloads`` those are read too, and one that can't be, or has no cells, is a reason; a null or
+    empty payload (an estimate) is none.
     """
     other = (F.lit(plan.agg_id) != 0) & (F.col("agg_id") != 0) & (F.col("agg_id") != plan.agg_id)
     kind = (F.lit(plan.sketch_type) != "Unspecified") & (F.col("sketch_type") != "Unspecified") & (F.col("sketch_type") != plan.sketch_type)
-    return envs.withColumn("problem", F.when(other, OTHER_PLAN).when(kind, OTHER_SKETCH).when(F.col("schema_version") > SCHEMA_VERSION, OTHER_VERSION))
+    problem = F.when(other, OTHER_PLAN).when(kind, OTHER_SKETCH).when(F.col("schema_version") > SCHEMA_VERSION, OTHER_VERSION)
+    if payloads:
+        problem = problem.when((F.octet_length("payload") > 0) & ~_readable(plan), UNREADABLE)
+    return envs.withColumn("problem", problem)
+
+
+def set_aside(plan: Plan, envs: DataFrame) -> DataFrame:
+    """The envelopes that ``merge_envelopes`` leaves out, with their ``problem`` and their count."""
+    return admission(plan, envs, payloads=True).where("problem is not null")
 
 
 def merged_cells(plan: Plan, envs: DataFrame, by_end: bool = False) -> DataFrame:
@@ -199,7 +225,7 @@ def merged_cells(plan: Plan, envs: DataFrame, by_end: bool = False) -> DataFrame
     if by_end and plan.size_ms:
         at = F.when(F.col("window_end_ms") != 0, F.col("window_end_ms")).otherwise(F.col("window_start_ms"))
         envs = envs.withColumn("window_start_ms", at - F.pmod(at, F.lit(plan.size_ms).cast("bigint"))).withColumn("window_end_ms", F.col("window_start_ms") + plan.size_ms)
-    taken = admission(plan, envs).where("problem is null and payload is not null").drop("problem")
+    taken = admission(plan, envs, payloads=True).where("problem is null and payload is not null").drop("problem")
     keyed = series_columns(taken.where(F.octet_length("payload") > 0), plan)
     s = sketch_of(plan)
     table = unpack(plan, keyed).select(*KEYS, "resource", "attrs", "n", *(("sketch",) if isinstance(s, Kll) else (*s.cell, "w")))

@@ -314,3 +314,20 @@ def test_custom_sketch(spark):
         assert [(r.w, r.n) for r in engine.merged_cells(plan, parts).collect()] == [(6.0, 2)]
     finally:
         del CUSTOM["Largest"]
+
+
+def test_unreadable_payloads_are_set_aside(spark):
+    for plan, bad in (
+        (replace(P, transmit_sketch=True), [b"{not json", b'[{"sign":1,"bucket":2,"w":3},{"si', b'[{"sign":"x","bucket":2,"w":3}]', b'[{"a":1}]', b"[]", b"\xff\x00"]),
+        (replace(P, transmit_sketch=True, encoding="MSGPACK"), [b"1:2", b"1:x:3;", b"1:2:3;1:2:3:4;", b";"]),
+    ):
+        e = engine.run(plan, obs(spark, [(1, {}, 1.0), (2, {}, 2.0)]))
+        broken = [e.withColumn("payload", F.lit(b)).withColumn("count", F.lit(5 + k).cast("bigint")) for k, b in enumerate(bad)]
+        both = e
+        for b in broken:
+            both = both.unionByName(b)
+        both = both.unionByName(e.withColumn("payload", F.lit(None).cast("binary")))
+        aside = engine.set_aside(plan, both).collect()
+        assert sorted((r.problem, r["count"]) for r in aside) == [("unreadable_payload", 5 + k) for k in range(len(bad))]
+        pick = lambda df: [(r["count"], bytes(r.payload)) for r in df.collect()]
+        assert pick(engine.merge_envelopes(plan, both)) == pick(e)
