@@ -10,9 +10,14 @@ Three layers over one master log of first arrivals:
 *   ``serve`` merges the frozen periods, the open ones of the last batch, and the fast increments since then.
 
 Times are those of arrival; run r takes what arrived up to ``r * interval_ms``.  The log holds one folder per batch (a call
-of ``ingest`` or a micro-batch of the stream), partitioned by run, so a run reads its new records in few folders and the
-open periods by the event times in the files' statistics.  A batch leaves out the copies of observations that the log has
-at the same or an earlier arrival; one that arrived earlier than the log knew is added and counts instead of the other.
+of ``ingest`` or a micro-batch of the stream), partitioned by run and by ``lag``, the intervals between event and run, so a
+run reads the folders of its new records and those that can hold events of open periods, and no others.  A batch leaves
+out the copies of observations that the log has at the same or an earlier arrival; one that arrived earlier than the log
+knew is added and counts instead of the other.
+
+What becomes of a record in a window is one decision (``_FATE``), by the state in which the last run left the window:
+counted in an open one that is recomputed, added to one that never freezes, amended into a frozen one it had arrived in
+time for, or late.  The views and the late records of a run both come from it.
 
 A plan with no cut-off (allowed lateness 0) has no period that ever freezes.  Its aggregates (counts, extremes) only ever
 grow, so a run adds the new arrivals' part to them instead of computing all of history again.
@@ -30,14 +35,15 @@ from pyspark.sql import functions as F
 
 from gaugewell.storage import local_table, mark, names, new_path
 
-#: Event times beyond it, in either direction, are in no window, so that sums of times can't overflow.
-_FAR = 1 << 61
+_MOST, _LEAST = (1 << 63) - 1, -(1 << 63)
 #: A set of plans is configuration and read by the driver; more than this is taken for a mistake.
 MOST_PLANS = 100_000
 #: Runs of a replay that are at work at the same time.
 AT_ONCE = 4
 #: ``known_ms``: the arrival of the copy that the log had before, null if it had none.
-LOG = "obs_id bigint, metric string, event_ms bigint, arrival_ms bigint, value double, known_ms bigint, batch string, run bigint"
+LOG = "obs_id bigint, metric string, event_ms bigint, arrival_ms bigint, value double, known_ms bigint, batch string, run bigint, lag int"
+#: Lags beyond these are in the folder of the nearest one.
+LAGS = (-2, 6)
 VIEW = "agg_id bigint, window_start_ms bigint, n_obs bigint, n_values bigint, min_value double, max_value double"
 LATE = "agg_id bigint, window_start_ms bigint, obs_id bigint"
 #: What makes an observation one, with its copies.
@@ -45,6 +51,11 @@ _SAME = ["obs_id", "metric", "event_ms"]
 _IN_TIME = "(cutoff is null or arrival_ms <= cutoff)"
 #: In time, and not counted in this window at the arrival that was known before.
 _MORE = f"{_IN_TIME} and (known_ms is null or known_ms > cutoff)"
+#: By ``_was``, the state of the window after the run before (null: it never freezes), and whether the record is new.
+_FATE = f"""case when _new and known_ms is null and not {_IN_TIME} then 'late'
+when _was = 'open' and {_IN_TIME} then 'counted'
+when _was is null and _new and known_ms is null then 'grown'
+when _was = 'frozen' and _new and {_MORE} then 'amended' end"""
 
 
 @dataclass(frozen=True)
@@ -65,12 +76,23 @@ def window_plans(plans: DataFrame) -> list[WindowPlan]:
 
 
 def window_starts(ts: Column, size: Column, step: Column) -> Column:
-    """The starts of the windows that hold a time: multiples of the step with start <= ts < start + size, none if null."""
-    low = ts - size + 1
-    first, last = low + F.pmod(-low, step), ts - F.pmod(ts, step)
+    """The starts of the windows that hold a time: multiples of the step with start <= ts < start + size, none if null.
+
+    Times at the very ends of 64 bits are in those windows whose start 64 bits can hold.
+    """
+    low = F.coalesce(F.try_subtract(ts, size - 1), F.lit(_LEAST))
+    first, last = F.try_add(low, F.pmod(step - F.pmod(low, step), step)), F.try_subtract(ts, F.pmod(ts, step))
     return F.when(first <= last, F.sequence(first, last, step)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _sum(*parts: Column) -> Column:
+    """The sum of a time and lengths that aren't negative; what 64 bits can't hold is as late as can be."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = F.coalesce(F.try_add(out, p), F.lit(_MOST))
+    return out
+
+
 def _alone() -> Column:
     """Tells the rows without an id apart."""
     return F.when(F.col("obs_id").isNull(), F.monotonically_increasing_id()).alias("_alone")
@@ -103,15 +125,17 @@ class LambdaViews:
         A row without an arrival counts as having arrived at its event time.  ``value`` is the float of Float rows.
         Null and 0 event times lie in no window, so those rows aren't kept.
         """
+        i = self.interval_ms
         return (
             observations.select(
                 "obs_id", "metric", F.col("timestamp_ms").alias("event_ms"), F.coalesce("received_ms", "timestamp_ms").alias("_at"),
                 F.when(F.col("kind") == "Float", F.col("float")).alias("value"), _alone(),
             )
-            .where((F.col("event_ms") != 0) & F.col("event_ms").between(-_FAR, _FAR))
+            .where("event_ms <> 0")
             .join(F.broadcast(self._plans.select("metric").distinct()), "metric", "left_semi")  # at most MOST_PLANS rows
             .groupBy("obs_id", "_alone", "metric", "event_ms").agg(F.min("_at").alias("arrival_ms"), F.max("value").alias("value"))
-            .select("obs_id", "metric", "event_ms", "arrival_ms", "value", F.ceil(F.col("arrival_ms") / F.lit(self.interval_ms)).cast("bigint").alias("run"))
+            .select("obs_id", "metric", "event_ms", "arrival_ms", "value", F.expr(f"arrival_ms div {i} + if(arrival_ms % {i} > 0, 1, 0)").alias("run"))
+            .withColumn("lag", F.least(F.greatest(F.col("run") - F.expr(f"event_ms div {i} - if(event_ms % {i} < 0, 1, 0)"), F.lit(LAGS[0])), F.lit(LAGS[1])).cast("int"))
         )
 
     def ingest(self, observations: DataFrame) -> None:
@@ -128,7 +152,7 @@ class LambdaViews:
             rows = rows.join(known, _SAME, "left").where("known_ms is null or arrival_ms < known_ms")
         else:
             rows = rows.withColumn("known_ms", F.lit(None).cast("bigint"))
-        rows.write.mode("overwrite").partitionBy("run").parquet(f"{self.folder}/log/batch={name}")
+        rows.write.mode("overwrite").partitionBy("run", "lag").parquet(f"{self.folder}/log/batch={name}")
 
     def _batches(self) -> list[str]:
         """The batches of the log that are whole."""
@@ -141,44 +165,53 @@ class LambdaViews:
             return local_table(self.spark, [], LOG)
         return self.spark.read.schema(LOG).option("basePath", f"{self.folder}/log").parquet(*paths)
 
-    def _observations(self, r: int | None, since: int | None, batches: list[str], seen: list[str], reach: int = 0) -> tuple[DataFrame, DataFrame]:
-        """Of what arrived up to run r (None: all): one row per observation, and those of them that are new since a run,
+    def _observations(self, r: int | None, since: int | None, batches: list[str], seen: list[str], reach: int | None = None) -> DataFrame:
+        """Of what arrived up to run r (None: all): one row per observation, with ``_new``, whether it is new since a run,
         which had the batches ``seen``.
 
-        New are those that the run didn't have, and those that it had at a later arrival, ``known_ms``.  Events more than
-        ``reach`` before that run are only looked at as far as a new row is as old.
+        New are those that the run didn't have, and those that it had at a later arrival, ``known_ms``.  With ``reach``
+        what isn't new and lies more than it before that run may be left out.
         """
         rows = self.log(batches)
         if r is not None:
             rows = rows.where(F.col("run") <= r)
         taken = F.lit(False) if since is None else (F.col("run") <= since) & F.col("batch").isin(seen)
-        if len(batches) < 2:  # a batch has an observation once
-            rows = rows.withColumn("known_ms", F.lit(None).cast("bigint"))
-            return rows, rows.where(~taken)
-        if since is not None:
-            low = rows.where(~taken).agg(F.min("event_ms")).first()[0]
+        once = len(batches) < 2  # a batch has an observation once
+        if since is not None and reach is not None:
             bound = since * self.interval_ms - reach
-            rows = rows.where(F.col("event_ms") >= (bound if low is None else min(bound, low)))
-        once = rows.groupBy(*_SAME, _alone()).agg(
+            if once:
+                rows = rows.where(~taken | self._from(bound))
+            else:  # an older observation may be that of a new row
+                low = rows.where(~taken).agg(F.min("event_ms")).first()[0]
+                rows = rows.where(self._from(bound if low is None else min(bound, low)))
+        if once:
+            return rows.withColumns({"known_ms": F.lit(None).cast("bigint"), "_new": ~taken})
+        rows = rows.groupBy(*_SAME, _alone()).agg(
             F.min("arrival_ms").alias("arrival_ms"), F.max("value").alias("value"), F.min(F.when(taken, F.col("arrival_ms"))).alias("known_ms")
         )
-        return once, once.where("known_ms is null or arrival_ms < known_ms")
+        return rows.withColumn("_new", F.expr("known_ms is null or arrival_ms < known_ms"))
+
+    def _from(self, bound: int) -> Column:
+        """Events from a time on, by folder first: a folder's events are ``lag`` intervals before its run, or further off
+        at both ends."""
+        folder = (F.col("run") - F.col("lag") >= bound // self.interval_ms) | (F.col("lag") == LAGS[0])
+        return folder & (F.col("event_ms") >= min(max(bound, _LEAST), _MOST))
 
     # Windows
 
-    def _windows(self, log: DataFrame) -> DataFrame:
-        """One row per record, plan and window: with ``cutoff`` (null if none)."""
+    def _windows(self, log: DataFrame, since: int | None = None) -> DataFrame:
+        """One row per record, plan and window: with ``cutoff`` (null if none), ``_was`` (the window's state after a run,
+        null if it never freezes) and ``fate``."""
         joined = log.join(F.broadcast(self._plans), "metric")  # at most MOST_PLANS rows
         starts = window_starts(F.col("event_ms"), F.col("size"), F.col("step"))
         rows = joined.select("*", F.explode(starts).alias("window_start_ms"))
-        return rows.withColumn("cutoff", F.when(F.col("lateness") > 0, F.col("window_start_ms") + F.col("size") + F.col("lateness")))
+        rows = rows.withColumn("cutoff", F.when(F.col("lateness") > 0, _sum(F.col("window_start_ms"), F.col("size"), F.col("lateness"))))
+        return rows.withColumn("_was", self._state(since)).withColumn("fate", F.expr(_FATE))
 
-    def _too_late(self, log: DataFrame) -> DataFrame:
-        """The windows that are past their cut-off when a record arrives; all others are left out before they're rows."""
-        joined = log.join(F.broadcast(self._plans.where("lateness > 0")), "metric")
-        starts = window_starts(F.col("event_ms"), F.col("size"), F.col("step"))
-        gone = F.filter(starts, lambda s: s + F.col("size") + F.col("lateness") < F.col("arrival_ms"))
-        return joined.select("agg_id", F.explode(gone).alias("window_start_ms"), "obs_id").distinct()
+    def _state(self, r: int | None) -> Column:
+        """The state in which run r leaves a window; before any run all are open."""
+        at = _LEAST if r is None else min(max(r * self.interval_ms, _LEAST), _MOST)
+        return F.when(F.col("cutoff") <= at, "frozen").when(F.col("cutoff").isNotNull(), "open")
 
     @staticmethod
     def _aggregate(rows: DataFrame, *more: str) -> DataFrame:
@@ -206,42 +239,36 @@ class LambdaViews:
         self.seen = batches
 
     def _run(self, r: int, since: int | None, batches: list[str], seen: list[str]) -> None:
-        now = r * self.interval_ms
         reach = max((p.size_ms + p.lateness_ms for p in self.plans if p.lateness_ms > 0), default=0)
-        log, new = self._observations(r, since, batches, seen, reach)
-        self._too_late(new.where("known_ms is null")).write.mode("overwrite").parquet(f"{self.folder}/late/at={r}")
-
-        rows = self._windows(log)
-        if since is not None:
-            was = since * self.interval_ms
-            open_ = self._windows(log.where(F.col("event_ms") >= was - reach)).where(F.col("cutoff") > was)
-            more = self._windows(new)
-            if set(batches) <= set(seen):  # nothing that arrived before that run is new
-                more = more.where("cutoff is null")
-            else:
-                more = more.where(F.col("cutoff").isNull() | (F.col("cutoff") <= was)).where(_MORE)
-                gone = more.where("cutoff is not null").select("agg_id", "window_start_ms", "obs_id")
-                gone.write.mode("overwrite").parquet(f"{self.folder}/amended/at={r}")
-            rows = open_.unionByName(more)
-        state = F.when(F.col("cutoff").isNull(), "grown").when(F.col("cutoff") <= now, "frozen").otherwise("open")
-        kept = rows.where(_IN_TIME).withColumn("state", state)
+        log = self._observations(r, since, batches, seen, reach)
+        late = self._windows(log.where("_new"), since).where("fate = 'late'")
+        late.select("agg_id", "window_start_ms", "obs_id").distinct().write.mode("overwrite").parquet(f"{self.folder}/late/at={r}")
+
+        rows = self._windows(log, since)
+        if since is not None and not set(batches) <= set(seen):  # something that arrived before that run may be new
+            gone = rows.where("fate = 'amended'").select("agg_id", "window_start_ms", "obs_id")
+            gone.write.mode("overwrite").parquet(f"{self.folder}/amended/at={r}")
+        kept = rows.where("fate <> 'late'").withColumn("state", F.coalesce(self._state(r), F.lit("grown")))
         self._aggregate(kept, "state").write.mode("overwrite").partitionBy("state").parquet(f"{self.folder}/views/at={r}")
 
-    def replay(self) -> LambdaViews:
-        """All scheduled runs up to the last arrival in the log, as they would have happened; one more run if what was
-        ingested since the last one all arrived before it.
+    def replay(self, until_ms: int | None = None) -> LambdaViews:
+        """The scheduled runs up to a time, or to the last arrival in the log, as they would have happened; one more run if
+        what was ingested since the last one all arrived before it.
 
-        A run reads the log up to its own time and nothing that other runs wrote, so a few run at once.
+        A run at which nothing had arrived since the one before is left out: it would only freeze periods, which the
+        next run does as well.  A run reads the log up to its own time and nothing that other runs wrote, so a few run
+        at once.
         """
         batches = self._batches()
-        first, last = self.log(batches).agg(F.min("run"), F.max("run")).first()
-        runs = [r for r in range(first, last + 1) if not self.done or r > self.done[-1]] if first is not None else []
-        if not runs and self.done and not set(batches) <= set(self.seen):
-            runs = [self.done[-1] + 1]
+        runs = [x[0] for x in self.log(batches).select("run").distinct().orderBy("run").collect()]  # one per interval with arrivals
+        last = self.done[-1] if self.done else None
+        due = [r for r in runs if (last is None or r > last) and (until_ms is None or r * self.interval_ms <= until_ms)]
+        if not due and self.done and until_ms is None and not set(batches) <= set(self.seen):
+            due = [last + 1]
         with ThreadPoolExecutor(AT_ONCE) as pool:
-            list(pool.map(self._run, runs, [*self.done[-1:], *runs] if self.done else [None, *runs], repeat(batches), [self.seen, *[batches] * len(runs)]))
-        if runs:
-            self.done += runs
+            list(pool.map(self._run, due, [last, *due], repeat(batches), [self.seen, *[batches] * len(due)]))
+        if due:
+            self.done += due
             self.seen = batches
         return self
 
@@ -252,17 +279,17 @@ class LambdaViews:
         paths = [f"{self.folder}/views/at={r}" for r in runs]
         return self.spark.read.schema(VIEW + ", state string").option("basePath", f"{self.folder}/views").parquet(*paths).where(F.col("state") == state).select(empty.columns)
 
-    def fast(self, arrivals: DataFrame, now_ms: int) -> DataFrame:
-        """The increments of arrivals since the last run up to now: provisional until the next run replaces them."""
-        rows = self._windows(arrivals.where(F.col("arrival_ms") <= now_ms))
-        return self._aggregate(rows.where(_MORE))
+    def fast(self, arrivals: DataFrame, now_ms: int | None = None) -> DataFrame:
+        """The increments of arrivals since the last run up to now (None: all): provisional until the next run replaces them."""
+        rows = arrivals if now_ms is None else arrivals.where(F.col("arrival_ms") <= now_ms)
+        return self._aggregate(self._windows(rows).where(_MORE))
 
     def serve(self, now_ms: int | None = None) -> DataFrame:
         """The periods as known now: frozen, open and fast ones merged."""
         out = self._views("frozen", self.done).unionByName(self._views("grown", self.done)).unionByName(self._views("open", self.done[-1:]))
         if now_ms is not None:
-            _, new = self._observations(None, self.done[-1] if self.done else None, self._batches(), self.seen)
-            out = out.unionByName(self.fast(new, now_ms))
+            log = self._observations(None, self.done[-1] if self.done else None, self._batches(), self.seen)
+            out = out.unionByName(self.fast(log.where("_new"), now_ms))
         return self.merge(out)
 
     def late(self) -> DataFrame:
@@ -297,7 +324,7 @@ class LambdaViews:
             if name in self._batches():
                 return
             self._add(batch, name)
-            self.fast(self.log([name]), _FAR).write.mode("overwrite").parquet(f"{self.folder}/fast/batch={number}")
+            self.fast(self.log([name]).withColumn("_new", F.lit(True))).write.mode("overwrite").parquet(f"{self.folder}/fast/batch={number}")
             mark(self.spark, f"{self.folder}/batches/{name}")
 
         return observations.writeStream.foreachBatch(write).option("checkpointLocation", f"{self.folder}/stream").options(**options)

@@ -8,10 +8,14 @@ from gaugewell.operators.wide import BlockPivot
 from gaugewell.storage import table
 
 
-def _views(spark, sf_dir):
+#: Half a day after a daily run, in the week of the data.
+NOW_MS = 1_772_712_000_000
+
+
+def _views(spark, sf_dir, until_ms=None):
     views = LambdaViews(spark, window_plans(table(spark, sf_dir, "plan_configs")))
     views.ingest(table(spark, sf_dir, "observations"))
-    return views.replay()
+    return views.replay(until_ms)
 
 
 def p2_found(spark, sf_dir):
@@ -24,6 +28,11 @@ def p2_windows(spark, sf_dir):
     return _views(spark, sf_dir).serve()
 
 
+def p2_served(spark, sf_dir):
+    """The same aggregates as they were known between two runs: frozen and open periods with the fast increments since."""
+    return _views(spark, sf_dir, NOW_MS).serve(NOW_MS)
+
+
 def _pivot(spark, sf_dir):
     return BlockPivot(table(spark, sf_dir, "otap_attributes"), table(spark, sf_dir, "attribute_keys"))
 
@@ -38,7 +47,7 @@ def p4_wide(spark, sf_dir):
     return _pivot(spark, sf_dir).wide(table(spark, sf_dir, "otap_metrics"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_windows, p4_found, p4_wide)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_windows, p2_served, p4_found, p4_wide)}
 
 _FIRST = """
 WITH o AS (
@@ -58,6 +67,8 @@ SELECT agg_id, s AS window_start_ms, count(*) AS n_obs, count(value) FILTER (NOT
 FROM w WHERE s + size_ms > ts AND (late = 0 OR arrival <= s + size_ms + late) GROUP BY ALL""",
 }
 
+SQL["p2_served"] = SQL["p2_windows"].replace("GROUP BY ALL", f"AND arrival <= {NOW_MS} GROUP BY ALL")
+
 _VALUES = r"""
 WITH r AS (
   SELECT parent_id, attr_name, value_type AS t,

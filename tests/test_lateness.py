@@ -148,3 +148,19 @@ def test_what_is_ingested_after_its_run(spark):
     assert view_of(views.replay().serve()) == brute([*data, (9999, 1500, 1510, "b", "Float", 9.0, "")], PLAN_ROWS[:6])[1]
     with pytest.raises(ValueError):
         LambdaViews(spark, [], 700, views.folder, done=[1])
+
+
+def test_runs_are_only_those_with_arrivals_and_times_at_the_ends(spark):
+    top = (1 << 63) - 1
+    data = [
+        (1, 1_500, None, "a", "Float", 1.0, ""), (2, 1_772_500_000_000, 1_772_500_000_500, "a", "Float", 2.0, ""),
+        (3, top, 1_772_500_000_500, "b", "Float", 3.0, ""), (4, -top - 1, 1_772_500_000_500, "b", "Float", 4.0, ""), (5, top - 5, top, "a", "Float", 5.0, ""),
+    ]
+    views = LambdaViews(spark, window_plans(spark.createDataFrame(PLAN_ROWS, PLANS)), 86_400_000)
+    views.ingest(spark.createDataFrame(data, OBS))
+    views.replay()
+    assert len(views.done) == 3
+    late, view = brute(data, PLAN_ROWS[:6])
+    fits = lambda s: -top - 1 <= s <= top
+    assert {tuple(r) for r in views.late().collect()} == {x for x in late if fits(x[1])}
+    assert view_of(views.serve()) == {k: v for k, v in view.items() if fits(k[1])}
