@@ -112,7 +112,7 @@ class LambdaViews:
     def __post_init__(self) -> None:
         if self.done and not self.seen:
             raise ValueError("done needs seen, the batches that the last run had")
-        self.folder = self.folder or new_path(self.spark, "views")
+        self.folder = self.folder or new_path(self.spark, "views", keep=True)
         rows = [(p.metric, p.agg_id, p.size_ms, p.step_ms, p.lateness_ms) for p in self.plans]
         self._plans = local_table(self.spark, rows, "metric string, agg_id bigint, size bigint, step bigint, lateness bigint")
 

@@ -1,8 +1,8 @@
 """Entity, attribute, value rows into one wide row per entity, by column-block pivoting.
 
 1.  Every value is parsed to the canonical text of its attribute's type, and rows are reduced to one per entity and
-    attribute: the number of values, the least and the greatest canonical text.  Spark combines these before the
-    shuffle, and the shuffle key holds the attribute too, so an entity with a third of all rows is no hot spot.
+    attribute: the least and the greatest canonical text, which are one if the values agree.  Spark combines these before
+    the shuffle, and the shuffle key holds the attribute too, so an entity with a third of all rows is no hot spot.
 2.  The reduced rows are written once in the shared folder, one folder per block of attributes, all blocks with the same
     bucketing by entity.
 3.  Each block is pivoted from its own files, and the blocks are joined on the entity; neither needs another shuffle,
@@ -11,30 +11,45 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewell.storage import local_table, new_path
+from gaugewell.storage import local_table, new_path, scratch_table
 
 TYPES = ("string", "long", "double", "boolean", "timestamp", "binary")
 #: Declared keys are part of the result's schema; more than this is taken for a mistake.
 MOST_KEYS = 100_000
+#: Bytes of the attributes, as Spark estimates them, for one bucket; there are at least as many as shuffle partitions.
+BUCKET_BYTES = 64 << 20
+#: What a cell is, by ``state``: its readable values are one, or they differ or there are none.
+ONE, WRONG = 1, 2
 
-_SPACE = r"[\s\x1c-\x1f]"
+#: By rule, every character that is white space.
+_SPACE = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
 _NUMERAL = r"(?-U)^([+-]?)([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?\z"
 _TIME = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}:[0-9]{2}:[0-9]{2})(?:\.([0-9]+))?(?:Z|([+-])([0-9]{2}):([0-9]{2}))\z"
-_LAST_MS = 253_402_300_799_999  # the end of the year 9999
 
 
 def trimmed(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, f"(?U)^{_SPACE}+|{_SPACE}+\\z", "")
+    return F.btrim(c, F.lit(_SPACE))
+
+
+def _rarely(f: Callable[[Column], Column], v: Column) -> Column:
+    """f of a value, as a lambda: what few values need stays out of the generated code, which must be short to be compiled
+    to machine code."""
+    return F.element_at(F.transform(F.array(v), f), 1)
 
 
 def whole_number(v: Column) -> Column:
     """The canonical text of a decimal numeral that is whole and fits 64 bits; else null."""
+    plain = F.when(v.rlike(r"^[+-]?[0-9]{1,18}\z"), v.try_cast("bigint").cast("string"))
+    return F.coalesce(plain, _rarely(_odd_number, v))
+
+
+def _odd_number(v: Column) -> Column:
     part = lambda k: F.regexp_extract(v, _NUMERAL, k)
     frac, digits = part(3), F.concat(part(2), part(3))
     power = F.when(part(4) == "", F.lit(0)).otherwise(F.coalesce(part(4).try_cast("int"), F.when(part(4).startswith("-"), -(1 << 30)).otherwise(1 << 30)))
@@ -45,8 +60,7 @@ def whole_number(v: Column) -> Column:
     tail = F.greatest(keep, F.lit(0)).cast("int")
     down = F.when((keep > 0) & ~digits.substr(tail + 1, F.length(digits)).rlike("[1-9]"), digits.substr(F.lit(1), tail))
     number = F.when(plain == "", F.lit("0")).when(shift >= 0, up).otherwise(down)
-    exact = F.concat(part(1), number).try_cast("bigint").cast("string")
-    return F.when(v.rlike(r"^[+-]?[0-9]{1,18}\z"), v.try_cast("bigint").cast("string")).when(v.rlike(_NUMERAL), exact)
+    return F.when(v.rlike(_NUMERAL), F.concat(part(1), number).try_cast("bigint").cast("string"))
 
 
 def real_number(v: Column) -> Column:
@@ -59,7 +73,16 @@ def boolean(v: Column) -> Column:
 
 
 def instant(v: Column) -> Column:
-    """Microseconds since 1970 as text, what is finer behind a point; or null."""
+    """Microseconds since 1970 as text, what is finer behind a point; or null.
+
+    Times up to the microsecond and with an offset that Spark knows (up to 18 hours) are read by its own cast, once they
+    are known to have the form; the others are taken apart.
+    """
+    usual = F.when((F.length(v) <= 32) & v.rlike(_TIME), F.unix_micros(v.try_cast("timestamp")).cast("string"))  # 26 characters and an offset
+    return F.coalesce(usual, _rarely(_odd_instant, v))
+
+
+def _odd_instant(v: Column) -> Column:
     part = lambda k: F.regexp_extract(v, _TIME, k)
     micros = F.rpad(F.substring(part(3), 1, 6), 6, "0")
     finer = F.regexp_replace(F.substring(part(3), 7, 1_000_000), "0+$", "")
@@ -67,8 +90,7 @@ def instant(v: Column) -> Column:
     hours, minutes = part(5).try_cast("bigint"), part(6).try_cast("bigint")
     ahead = F.when(part(4) == "", F.lit(0)).when((hours < 24) & (minutes < 60), (hours * 60 + minutes) * F.when(part(4) == "-", -60_000_000).otherwise(60_000_000))
     text = F.concat((local - ahead).cast("string"), F.when(finer == "", "").otherwise(F.concat(F.lit("."), finer)))
-    ms = v.try_cast("decimal(38,0)")
-    epoch = F.when(ms <= _LAST_MS, (ms.cast("decimal(20,0)") * 1000).cast("decimal(38,0)").cast("string"))
+    epoch = F.regexp_replace(F.concat(v, F.lit("000")), "^0+(?=[0-9])", "")
     return F.when(v.rlike(r"^[0-9]+\z"), epoch).when(v.rlike(_TIME), text)
 
 
@@ -85,8 +107,8 @@ def canonical(v: Column, kind: Column) -> Column:
 
 def typed(text: Column, kind: str) -> Column:
     """The typed value of a canonical text."""
-    if kind == "timestamp":
-        return F.timestamp_micros(F.substring_index(text, ".", 1).cast("bigint"))
+    if kind == "timestamp":  # null beyond what a timestamp can hold
+        return F.timestamp_micros(F.substring_index(text, ".", 1).try_cast("bigint"))
     if kind == "binary":
         return F.unhex(text)
     return text.cast({"long": "bigint"}.get(kind, kind))
@@ -113,8 +135,8 @@ def declared(keys: DataFrame) -> list[tuple[str, str, str]]:
 class BlockPivot:
     """The cells of declared attributes, in blocks of ``block_size`` attributes with one row per entity that has any.
 
-    A cell is a struct (n: number of values; lo, hi: least and greatest canonical text of the readable ones), null where
-    the entity has no value.
+    A cell has a ``state``, and the canonical text where its readable values are one; both are null where the entity has no
+    value.  Pivots of states aggregate whole numbers only and read no texts.
 
     Rows with a null entity or key, an undeclared key or no value are nobody's; repeated rows count once in effect.
     Columns beside the named ones aren't read, so their names can't clash.
@@ -123,11 +145,16 @@ class BlockPivot:
     def __init__(self, attributes: DataFrame, keys: DataFrame, entity: str = "parent_id", block_size: int = 8, buckets: int | None = None):
         self.entity, self.spark = entity, attributes.sparkSession
         self.keys = declared(keys)
-        self.attributes = sorted({(a, t) for _, a, t in self.keys})
-        self.buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # Attributes of fixed width come first, so that their blocks are aggregated by hash.
+        self.attributes = sorted({(a, t) for _, a, t in self.keys}, key=lambda x: (x[1] in ("string", "binary"), x))
         self.block_size = block_size
-        stored = self._store(self._reduce(attributes))
-        self.blocks = [self._pivot(stored, first) for first in range(0, len(self.attributes), block_size)]
+        reduced = self._reduce(attributes)
+        self.buckets = buckets or self._buckets(attributes)
+        self.stored = self._store(reduced)
+
+    def _buckets(self, attributes: DataFrame) -> int:
+        size = int(str(attributes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // BUCKET_BYTES), 100_000))
 
     def _reduce(self, df: DataFrame) -> DataFrame:
         number = {a: k for k, (a, _) in enumerate(self.attributes)}
@@ -143,36 +170,38 @@ class BlockPivot:
             .select("_entity", "_attr", "_kind", F.explode(values).alias("_value"))
             .where("_value <> ''")
         )
+        one = F.coalesce(F.col("_lo") == F.col("_hi"), F.lit(False))
         return (
             found.select("_entity", "_attr", canonical(F.col("_value"), F.col("_kind")).alias("_text"))
             .groupBy("_entity", "_attr")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("_text").alias("lo"), F.max("_text").alias("hi"))
-            .withColumn("_block", (F.col("_attr") / self.block_size).cast("int"))
+            .agg(F.min("_text").alias("_lo"), F.max("_text").alias("_hi"))
+            .select("_entity", "_attr", F.when(one, ONE).otherwise(WRONG).alias("_state"), F.when(one, F.col("_lo")).alias("_text"), (F.col("_attr") / self.block_size).cast("int").alias("_block"))
         )
 
     def _store(self, reduced: DataFrame) -> DataFrame:
-        name = f"gaugewell_cells_{uuid.uuid4().hex}"
+        name = scratch_table(self.spark, "cells")
         (
             reduced.repartition(self.buckets, "_entity")
-            .write.partitionBy("_block").bucketBy(self.buckets, "_entity").sortBy("_entity")
+            .write.partitionBy("_block").bucketBy(self.buckets, "_entity")
             .option("path", new_path(self.spark, "cells")).saveAsTable(name)
         )
         return self.spark.table(name)
 
-    def _pivot(self, stored: DataFrame, first: int) -> DataFrame:
-        names, cell = self.columns(), F.struct("n", "lo", "hi")
+    def _pivot(self, first: int, cell: Callable[[str], Column]) -> DataFrame:
+        names = self.columns()
         block = range(first, min(first + self.block_size, len(names)))
-        pivoted = [F.max(F.when(F.col("_attr") == k, cell)).alias(names[k]) for k in block]
-        return stored.where(F.col("_block") == first // self.block_size).groupBy("_entity").agg(*pivoted).withColumnRenamed("_entity", self.entity)
+        pivoted = [F.max(F.when(F.col("_attr") == k, cell(self.attributes[k][1]))).alias(names[k]) for k in block]
+        return self.stored.where(F.col("_block") == first // self.block_size).groupBy("_entity").agg(*pivoted).withColumnRenamed("_entity", self.entity)
 
-    def cells(self, entities: DataFrame) -> DataFrame:
-        """The cells of each distinct entity that isn't null: the blocks joined to the entities one after the other.
+    def cells(self, entities: DataFrame, cell: Callable[[str], Column]) -> DataFrame:
+        """What ``cell`` makes of a cell of a type, for each distinct entity that isn't null: the blocks joined to the
+        entities one after the other.
 
         Left joins keep the entities' partitioning, which is that of the blocks' buckets.
         """
         out = entities.select(self.entity).where(F.col(self.entity).isNotNull()).distinct()
-        for block in self.blocks:
-            out = out.join(block, self.entity, "left")
+        for first in range(0, len(self.attributes), self.block_size):
+            out = out.join(self._pivot(first, cell), self.entity, "left")
         return out
 
     def columns(self) -> list[str]:
@@ -190,17 +219,13 @@ class BlockPivot:
 
         The value is null where an entity has none or none that can be read, or where readable ones differ.
         """
-        out = [F.col(self.entity)]
-        for name, (_, kind) in zip(self.columns(), self.attributes):
-            c = F.col(f"`{name}`")
-            out.append(typed(F.when(c["lo"] == c["hi"], c["lo"]), kind).alias(name))
-        return self.cells(entities).select(*out)
+        return self.cells(entities, lambda kind: typed(F.col("_text"), kind)).select(self.entity, *[F.col(f"`{c}`") for c in self.columns()])
 
     def conflicts(self, entities: DataFrame) -> DataFrame:
         """(entity, attr_name) of the attributes with values whose readable ones aren't exactly one distinct value."""
-        wrong = [F.when(F.col(f"`{n}`")["n"].isNotNull() & ~F.coalesce(F.col(f"`{n}`")["lo"] == F.col(f"`{n}`")["hi"], F.lit(False)), F.lit(a)) for n, (a, _) in zip(self.columns(), self.attributes)]
+        wrong = [F.when(F.col(f"`{n}`") == WRONG, F.lit(a)) for n, (a, _) in zip(self.columns(), self.attributes)]
         names = F.array_compact(F.array(*wrong)) if wrong else F.array().cast("array<string>")
-        return self.cells(entities).select(self.entity, F.explode(names).alias("attr_name"))
+        return self.cells(entities, lambda _: F.col("_state")).select(self.entity, F.explode(names).alias("attr_name"))
 
 
 def pivot(spark: SparkSession, attributes: DataFrame, keys: DataFrame, entities: DataFrame, **kw) -> DataFrame:

@@ -10,6 +10,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,57 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path for a new intermediate table that no other run uses."""
-    return f"{shared_dir(spark)}/gaugewell/{name}-{uuid.uuid4().hex}"
+_MADE: dict[str, list[tuple[SparkSession, str, str]]] = {}  # by application: what is to be removed
+
+
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path for a new intermediate table that no other run uses; ``release`` removes it unless it is to be kept."""
+    path = f"{shared_dir(spark)}/gaugewell/{name}-{uuid.uuid4().hex}"
+    if keep:
+        return path
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append((spark, "path", path))
+    return path
+
+
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A name for a new table in the session's catalog; ``release`` drops it."""
+    table_ = f"gaugewell_{name}_{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append((spark, "table", table_))
+    return table_
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables that operators of this application have written so far.
+
+    Frames that were made from them can't be read any more.  Runs by itself when the program ends.
+    """
+    for session, kind, name in _MADE.pop(spark.sparkContext.applicationId, []):
+        if kind == "table":
+            session.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            files, at = _files(session, name)
+            files.delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What operators write for themselves inside this block is removed at its end."""
+    app = spark.sparkContext.applicationId
+    before = _MADE.pop(app, [])
+    try:
+        yield
+    finally:
+        release(spark)
+        _MADE[app] = before + _MADE.get(app, [])
+
+
+@atexit.register
+def _at_end() -> None:
+    for made in list(_MADE.values()):
+        try:
+            release(made[0][0])
+        except Exception:  # noqa: BLE001  the session is gone; its folder is whoever's that named it
+            pass
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

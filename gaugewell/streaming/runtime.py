@@ -42,7 +42,7 @@ class Stats:
 
 class Runtime:
     def __init__(self, spark: SparkSession, plan: Plan, folder: str | None = None):
-        self.spark, self.plan, self.folder = spark, plan, folder or new_path(spark, "runtime")
+        self.spark, self.plan, self.folder = spark, plan, folder or new_path(spark, "runtime", keep=True)
         self.partials: dict[str, str] = {}  # by batch
         self.counted: dict[str, Stats] = {}
         self.emitted_until: int | None = None
