@@ -78,7 +78,7 @@ def instant(v: Column) -> Column:
     Times up to the microsecond and with an offset that Spark knows (up to 18 hours) are read by its own cast, once they
     are known to have the form; the others are taken apart.
     """
-    usual = F.when((F.length(v) <= 32) & v.rlike(_TIME), F.unix_micros(v.try_cast("timestamp")).cast("string"))  # 26 characters and an offset
+    usual = F.when(v.rlike(_TIME.replace("([0-9]+)", "[0-9]{1,6}", 1)), F.unix_micros(v.try_cast("timestamp")).cast("string"))
     return F.coalesce(usual, _rarely(_odd_instant, v))
 
 
@@ -154,7 +154,8 @@ class BlockPivot:
 
     def _buckets(self, attributes: DataFrame) -> int:
         size = int(str(attributes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // BUCKET_BYTES), 100_000))
+        known = size < 1 << 60  # Spark guesses the most there is for what isn't a file
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // BUCKET_BYTES), 100_000) if known else 1)
 
     def _reduce(self, df: DataFrame) -> DataFrame:
         number = {a: k for k, (a, _) in enumerate(self.attributes)}

@@ -56,3 +56,30 @@ def test_no_rows(spark):
     a, k, e = frames(spark, [(1, "region", None, "eu", None)], [1])
     p = BlockPivot(a, k.limit(0))
     assert [tuple(r) for r in p.wide(e).collect()] == [(1,)] and p.conflicts(e).collect() == []
+
+
+def test_epochs_of_any_size(spark):
+    rows = [
+        (1, "at", None, "253402300800000", None), (1, "at", None, "00253402300800000", None), (2, "at", None, "9" * 40, None), (2, "at", None, "9" * 39 + "8", None), (3, "at", None, "9" * 40, None),
+        (4, "at", None, "2026-03-02T00:00:00.1234567Z", None), (4, "at", None, "2026-03-02T00:00:00.123456Z", None), (5, "at", None, "2026-03-02 00:00:00.10-20:30", None), (5, "at", None, "2026-03-02T20:30:00.1Z", None),
+        (6, "at", None, "2026-02-30T00:00:00Z", None), (7, "at", None, "0000", None), (7, "at", None, "1970-01-01T00:00:00Z", None), (8, "at", None, "2026-03-02T00:00:00+25:00", None),
+        (9, "status", None, "\x01" + "5", None), (9, "status", None, "5", None), (10, "status", None, "+0012.50e1", None), (10, "status", None, None, 125),
+    ]
+    a, k, e = frames(spark, rows, range(1, 11))
+    p = BlockPivot(a, k)
+    assert sorted(map(tuple, p.conflicts(e).collect())) == [(2, "at"), (4, "at"), (6, "at"), (8, "at")]
+    got = {r[0]: r[1] for r in p.wide(e).selectExpr("parent_id", "unix_micros(at)").collect()}
+    assert got[1] == 253402300800000000 and got[3] is None and got[7] == 0 and got[5] == 1772483400100000
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    from gaugewell.storage import scratch
+
+    a, k, e = frames(spark, [(1, "region", None, "eu", None)], [1])
+    before = {t.name for t in spark.catalog.listTables()}
+    with scratch(spark):
+        path = BlockPivot(a, k).stored.inputFiles()[0]
+        assert {t.name for t in spark.catalog.listTables()} != before
+    import os
+
+    assert {t.name for t in spark.catalog.listTables()} == before and not os.path.exists(path.removeprefix("file://"))
