@@ -17,6 +17,6 @@ class ClosedError(GaugewellError):
     """The engine was shut down and takes no more points."""
 
 
-LATE, OVERFLOW, UNKNOWN_SKETCH, UNKNOWN_ENCODING, OTHER_PLAN, OTHER_SKETCH, OTHER_VERSION, UNREADABLE = (
-    "late_data", "series_cap_exceeded", "unknown_sketch_type", "unknown_encoding", "other_plan", "other_sketch_type", "unknown_schema_version", "unreadable_payload",
+LATE, OVERFLOW, UNKNOWN_SKETCH, UNKNOWN_ENCODING, OTHER_PLAN, OTHER_SKETCH, OTHER_VERSION, UNREADABLE, OTHER_PARAMETERS = (
+    "late_data", "series_cap_exceeded", "unknown_sketch_type", "unknown_encoding", "other_plan", "other_sketch_type", "unknown_schema_version", "unreadable_payload", "other_parameters",
 )

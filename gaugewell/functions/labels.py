@@ -13,7 +13,9 @@ def entries(labels: Column) -> Column:
 
 
 def escaped(c: Column) -> Column:
-    return F.regexp_replace(c, r"([\\;=])", r"\\$1")
+    for sign in ("\\", ";", "="):
+        c = F.replace(c, F.lit(sign), F.lit("\\" + sign))
+    return c
 
 
 def label_set(labels: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewell.functions.hashing import hash60
+from gaugewell.functions.ranked import first_rows
 
 Keys = Sequence[str]
 
@@ -33,6 +34,10 @@ class DDSketch:
     cell = ("sign", "bucket")
     schema = "sign int, bucket int, w bigint"
 
+    @property
+    def params(self) -> str:
+        return repr(self.alpha)
+
     @property
     def gamma(self) -> float:
         return (1 + self.alpha) / (1 - self.alpha)
@@ -75,6 +80,10 @@ class HyperLogLog:
     cell = ("idx",)
     schema = "idx int, w bigint"
 
+    @property
+    def params(self) -> str:
+        return str(self.precision)
+
     def register(self, item: Column) -> tuple[Column, Column]:
         h = hash60(item)
         rest = F.shiftright(h, self.precision)
@@ -92,13 +101,13 @@ class HyperLogLog:
     def estimate(self, cells: DataFrame, keys: Keys, maps: Sequence[str] = ()) -> DataFrame:
         """(keys..., estimate): harmonic mean, or linear counting while registers are empty and the count is small.
 
-        With ``maps`` also ``n``, the number of all points of the key, and these columns.
+        With ``maps`` also ``n``, the number of all points of the key, and these columns, which go with the key.
         """
         m = 1 << self.precision
         bias = {16: 0.673, 32: 0.697, 64: 0.709}.get(m, 0.7213 / (1 + 1.079 / m))
-        more = [F.sum("n").alias("n"), *[F.any_value(m).alias(m) for m in maps]] if maps else []
+        more = [F.sum("n").alias("n")] if maps else []
         some = F.col("idx").isNotNull()
-        used = cells.groupBy(*keys).agg(F.count(F.when(some, 1)).alias("_used"), F.coalesce(F.sum(F.when(some, F.pow(F.lit(2.0), -F.col("w")))), F.lit(0.0)).alias("_sum"), *more)
+        used = cells.groupBy(*keys, *maps).agg(F.count(F.when(some, 1)).alias("_used"), F.coalesce(F.sum(F.when(some, F.pow(F.lit(2.0), -F.col("w")))), F.lit(0.0)).alias("_sum"), *more)
         raw = F.lit(bias * m * m) / (F.col("_sum") + (m - F.col("_used")))
         small = (raw <= 2.5 * m) & (F.col("_used") < m)
         linear = m * F.log(m / (m - F.col("_used")).cast("double"))
@@ -118,6 +127,10 @@ class Frequency:
     cell = ("row", "col")
     schema = "row int, col int, w double"
 
+    @property
+    def params(self) -> str:
+        return f"{self.rows}x{self.cols}"
+
     def _places(self, item: Column) -> Column:
         hashes = [hash60(F.concat(F.lit(f"{r}|"), item)) for r in range(self.rows)]
         sign = lambda h: F.shiftright(h, 20).bitwiseAND(1) * 2 - 1 if self.signed else F.lit(1).cast("bigint")
@@ -127,7 +140,7 @@ class Frequency:
         """Equal items are added up before they are spread over the rows.  Null items only count as points (row null)."""
         w = F.lit(1.0) if weight is None else F.coalesce(F.col(weight), F.lit(1.0))
         items = df.groupBy(*keys, item).agg(F.sum(w).alias("_w"), F.count(F.lit(1)).alias("_n"), *extra)
-        kept = [n for n in items.columns if n not in (*keys, item, "_w", "_n")]
+        kept = [n for n in items.columns if n not in (*keys, item, "_w", "_n")]  # the extra columns
         spread = items.where(F.col(item).isNotNull()).select(*keys, "_w", "_n", *kept, self._places(F.col(item)))
         lost = items.where(F.col(item).isNull()).select(*keys, "_w", "_n", *kept, F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"), F.lit(0).cast("bigint").alias("sign"))
         n = F.when((F.col("row") == 0) | F.col("row").isNull(), F.col("_n")).otherwise(0)
@@ -157,6 +170,18 @@ class Frequency:
         return got.groupBy(*keys, item, "_i").agg(pick.alias("_p")).select(*keys, item, F.when(F.col("_i").isNotNull(), F.col("_p")).otherwise(0.0).alias("estimate"))
 
 
+    def top(self, cells: DataFrame, candidates: DataFrame, keys: Keys, k: int, item: str = "item") -> DataFrame:
+        """(keys..., item, estimate, rank) of the k candidates of each key with the greatest estimates, ties by item.
+
+        A sketch holds no items, so candidates come from elsewhere: a list of frequent ones, or the items of the data.
+        Null and empty candidates, and those estimated at 0 or less, aren't ranked.
+        """
+        asked = self.point(cells, candidates.where(F.length(item) > 0), keys, item).where("estimate > 0")
+        first = first_rows(asked, keys, [F.col("estimate").desc(), F.col(item)], k)
+        w = Window.partitionBy(*keys).orderBy(F.col("estimate").desc(), F.col(item))  # at most k rows
+        return first.withColumn("rank", F.row_number().over(w))
+
+
 @dataclass(frozen=True)
 class Kll:
     """Quantiles with rank error, by Spark's own sketch: one binary per key.  Values that aren't finite only count."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugewell import sketch_queries
+from gaugewell import engine_queries, sketch_queries
 from gaugewell.operators.lateness import LambdaViews, window_plans
 from gaugewell.operators.wide import BlockPivot
 from gaugewell.storage import table
@@ -100,5 +100,5 @@ SQL["p4_found"] = _VALUES + "SELECT parent_id, attr_name FROM g WHERE n <> 1 AND
 SQL["p4_wide"] = _VALUES + "SELECT m.parent_id, " + ", ".join(
     _CASTS[t].format(f"max(CASE WHEN attr_name = '{a}' AND n = 1 THEN x END)") + f" AS {a}" for a, t in _ATTRIBUTES.items()
 ) + " FROM (SELECT DISTINCT parent_id FROM otap_metrics WHERE parent_id IS NOT NULL) m LEFT JOIN g ON g.parent_id = m.parent_id GROUP BY m.parent_id"
-QUERIES = {**sketch_queries.QUERIES, **QUERIES}
-SQL = {**sketch_queries.SQL, **SQL}
+QUERIES = {**sketch_queries.QUERIES, **engine_queries.QUERIES, **QUERIES}
+SQL = {**sketch_queries.SQL, **engine_queries.SQL, **SQL}

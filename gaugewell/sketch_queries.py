@@ -323,7 +323,7 @@ def snapshot_lookup(spark, sf_dir):
     """Every frame beside the one before it of its series."""
     plan = replace(_DD_PLAN, transmit_sketch=True)
     out = deltas.with_previous(engine.run(plan, events(spark, sf_dir)))
-    n = lambda c: F.json_array_length(F.col(c).cast("string")).cast("bigint")
+    n = lambda c: F.json_array_length(F.get_json_object(F.col(c).cast("string"), "$.cells")).cast("bigint")
     return out.select(F.col("labels")["event_type"].alias("event_type"), "window_start_ms", "first", n("payload").alias("cells"), F.coalesce(n("previous"), F.lit(-1)).alias("cells_before"))
 
 

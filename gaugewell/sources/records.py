@@ -30,15 +30,24 @@ def attribute_index(attributes: DataFrame, order: str | None = None) -> DataFram
     return rows.groupBy(F.col("parent_id").cast("bigint").alias("parent_id"), "key").agg(best.alias("v")).select("parent_id", "key", "v.b", "v.s", "v.i")
 
 
-def flatten(metrics: DataFrame, attributes: DataFrame, labels: Sequence[str], order: str | None = None) -> DataFrame:
+def text_keys(attributes: DataFrame, most: int = 10_000) -> list[str]:
+    """The keys, sorted, of attributes that are text somewhere: they become columns, so more than ``most`` are an error."""
+    text = attributes.where("parent_id is not null and key is not null and str is not null" + (" and bytes is null" if "bytes" in attributes.columns else ""))
+    keys = [r[0] for r in text.select("key").distinct().limit(most + 1).collect()] if "str" in attributes.columns else []
+    if len(keys) > most:
+        raise SchemaError(f"more than {most} text attributes")
+    return sorted(k for k in keys if k not in schemas.CARRIERS)
+
+
+def flatten(metrics: DataFrame, attributes: DataFrame, labels: Sequence[str] | None = None, order: str | None = None) -> DataFrame:
     """Every metric row with its attributes as columns; a row without attributes gets nulls.
 
-    ``labels``: the text attributes that become columns.  Carrier attributes fill their columns by type and win over a
+    ``labels``: the text attributes that become columns, all of ``text_keys`` if None.  Carrier attributes fill their columns by type and win over a
     column of the metrics; ``parent_id`` goes.  A label named like another column of the metrics is an error.
     """
     schemas.check(metrics, {"parent_id": ("bigint", "int")}, ("parent_id",))
     carriers = {"binary": "b", "string": "s", "bigint": "i", "int": "i"}
-    names = [n for n in labels if n not in schemas.CARRIERS]
+    names = [n for n in (text_keys(attributes) if labels is None else labels) if n not in schemas.CARRIERS]
     clash = set(names) & (set(metrics.columns) | schemas.RESERVED)
     if clash:
         raise SchemaError(f"labels named like columns of the metrics: {', '.join(sorted(clash))}")

@@ -331,3 +331,64 @@ def test_unreadable_payloads_are_set_aside(spark):
         assert sorted((r.problem, r["count"]) for r in aside) == [("unreadable_payload", 5 + k) for k in range(len(bad))]
         pick = lambda df: [(r["count"], bytes(r.payload)) for r in df.collect()]
         assert pick(engine.merge_envelopes(plan, both)) == pick(e)
+
+
+def test_points_are_aggregated_by_hash(spark):
+    rows = obs(spark, [(1, {"a": "x"}, 1.0), (2, {"a": "y"}, 2.0)])
+    for kind in (DDSKETCH, HLL, COUNT_MIN, COUNT_SKETCH):
+        plan = Plan(1, sketch_type=kind, size_ms=1000)
+        text = engine.cells(plan, engine.admitted(plan, rows))._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in text and "HashAggregate" in text
+
+
+def test_labels_with_the_same_text_stay_apart(spark):
+    plan = Plan(1, sketch_type=HLL, size_ms=1000, transmit_sketch=False)
+    rows = [(1, {"a": "x;b=y"}, ("h", 1)), (1, {"a": "x", "b": "y"}, ("h", 2)), (1, {"b": "y", "a": "x", "c": None}, ("h", 3)), (1, {"q": "a=1"}, ("h", 3))]
+    got = {tuple(sorted(r.labels.items())): round(r.value) for r in engine.run(plan, obs(spark, rows)).collect()}
+    assert got == {(("a", "x;b=y"),): 1, (("a", "x"), ("b", "y")): 2, (("q", "a=1"),): 1}
+
+
+@pytest.mark.parametrize("kind,change", [(DDSKETCH, {"relative_accuracy": 0.02}), (HLL, {"precision": 10}), (COUNT_MIN, {"cols": 128}), (COUNT_SKETCH, {"rows": 5})])
+@pytest.mark.parametrize("encoding", ["PROTO_FULL", "MSGPACK"])
+def test_sketches_of_other_parameters_are_set_aside(spark, kind, change, encoding):
+    plan = Plan(1, sketch_type=kind, size_ms=1000, encoding=encoding)
+    e = engine.run(replace(plan, sketch_params=change), obs(spark, [(1, {}, 1.0)]))
+    assert [r.problem for r in engine.set_aside(plan, e).collect()] == ["other_parameters"]
+    assert engine.merge_envelopes(plan, e).count() == 0 and engine.merge_envelopes(replace(plan, sketch_params=change), e).count() == 1
+
+
+def test_top_items(spark):
+    s = Frequency(5, 256)
+    df = spark.createDataFrame([(1, f"k{i % 7}") for i in range(70)] + [(1, "k1")] * 9 + [(2, "only"), (2, None), (2, "")], "g int, item string")
+    got = s.top(s.cells(df, ["g"]), df.distinct(), ["g"], 2)
+    assert sorted(map(tuple, got.select("g", "rank", "item", "estimate").collect())) == [(1, 1, "k1", 19.0), (1, 2, "k0", 10.0), (2, 1, "only", 1.0)]
+
+
+def test_cap_of_a_runtime(spark):
+    plan = Plan(1, size_ms=10_000, max_series=2)
+    r = Runtime(spark, plan)
+    r.process(obs(spark, [(5, {"k": "a"}, 1.0), (1, {"k": "b"}, 1.0)]), 0)
+    r.process(obs(spark, [(2, {"k": "c"}, 1.0), (3, {"k": "a"}, 1.0), (10_001, {"k": "c"}, 1.0)]), 1)
+    r.process(obs(spark, [(2, {"k": "c"}, 1.0), (3, {"k": "a"}, 1.0), (10_001, {"k": "c"}, 1.0)]), 1)
+    got = r.tick(10_000).collect()
+    assert sorted((x.labels["k"], x["count"]) for x in got) == [("a", 2), ("b", 1)] and r.stats.dropped_overflow == 1
+    assert [(x.labels["k"], x["count"]) for x in r.drain().collect()] == [("c", 1)]
+    r = Runtime(spark, replace(plan, overflow="EvictOldest"))
+    r.process(obs(spark, [(5, {"k": "a"}, 1.0), (1, {"k": "b"}, 1.0)]), 0)
+    r.process(obs(spark, [(7, {"k": "c"}, 1.0)]), 1)
+    assert sorted((x.labels["k"], x["count"]) for x in r.tick(10_000).collect()) == [("a", 1), ("c", 1)] and r.stats.evicted_series == 1
+    for bad in (lambda: engine.run(replace(plan, overflow="EvictOldest"), obs(spark, [])), lambda: watermarked(plan, obs(spark, []))):
+        with pytest.raises(PlanError):
+            bad()
+
+
+def test_a_batch_tried_again_after_a_tick_counts_once(spark, tmp_path):
+    r = Runtime(spark, Plan(1, size_ms=10_000))
+    batch = obs(spark, [(5000, {}, 1.0), (15_000, {}, 1.0)])
+    r.process(batch, 0)
+    assert r.tick(10_000).first()["count"] == 1 and r.stats.last_emitted_envelopes == 1
+    r.process(batch, 0)
+    r.save(str(tmp_path / "s.json"))
+    again = Runtime.restore(spark, str(tmp_path / "s.json"))
+    again.process(batch, 0)
+    assert [x["count"] for x in again.drain().collect()] == [1] and again.stats.input_observations == 2
