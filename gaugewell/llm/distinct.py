@@ -5,6 +5,10 @@ by keeping the k smallest of the union, so days, files and finer groups combine
 than k hashes is known exactly; otherwise its size is (k - 1) / U for the largest kept hash U as a share of all hashes,
 with a relative standard error of 1 / sqrt(k - 2).
 
+Groups of very many identifiers are trimmed before their first shuffle: a first pass counts them roughly, by a sketch of
+fixed size, and hashes that are certainly or almost certainly not among the k smallest of their group are left out where
+they are read.  A group that comes out with fewer than k for that reason is done again without it, so sketches are exact.
+
 Unions, intersections and differences of two groups count the kept hashes under the lesser of both groups' thresholds and
 divide by it; their confidence bounds are those of a binomial share.
 """
@@ -13,14 +17,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewell.functions.hashing import hash60
 from gaugewell.functions.ranked import first_rows
+from gaugewell.storage import written
 
 SPACE = float(1 << 60)
+#: Groups that are trimmed, those with the most identifiers; the bound of what is broadcast.
+MOST_TRIMMED = 10_000
+#: Hashes left per trimmed group, in multiples of k, by the rough count.
+LEFT = 2
 
 
 class KSmallest:
@@ -37,7 +48,28 @@ class KSmallest:
 
     def sketch(self, df: DataFrame, groups: Sequence[str], identifier: str) -> DataFrame:
         """The sketch of every group."""
-        return self.merge(df.select(*groups, hash60(F.col(identifier)).alias("h")).where("h is not null"), groups)
+        names = [f"_g{k}" for k in range(len(groups))]
+        rows = df.select(*[F.col(g).alias(n) for g, n in zip(groups, names)], hash60(F.col(identifier)).alias("h")).where("h is not null")
+        rough = rows.groupBy(*names).agg(F.approx_count_distinct("h", 0.05).alias("_d"))
+        large = written(rough.where(F.col("_d") > LEFT * self.k).orderBy(F.col("_d").desc()).limit(MOST_TRIMMED), "large")
+        # The hashes of a group are spread evenly: of d, LEFT * k are expected below this one, of which k are enough.
+        large = large.select(*[F.col(n).alias("_t" + n) for n in names], (F.lit(LEFT * self.k * SPACE) / F.col("_d")).cast("bigint").alias("_below"))
+        if large.isEmpty():
+            return self.merge(rows, names).select(*self._out(groups, names), "h")
+        same = reduce(and_, [F.col(n).eqNullSafe(F.col("_t" + n)) for n in names], F.lit(True))
+        trimmed = rows.join(F.broadcast(large), same, "left").where("_below is null or h < _below").select(*names, "h")  # at most MOST_TRIMMED rows
+        out = written(self.merge(trimmed, names), "trimmed")
+        kept = out.groupBy(*names).agg(F.count(F.lit(1)).alias("_kept")).where(F.col("_kept") >= self.k).select(*[F.col(n).alias("_k" + n) for n in names])
+        full = reduce(and_, [F.col("_t" + n).eqNullSafe(F.col("_k" + n)) for n in names], F.lit(True))
+        short = written(large.join(kept, full, "left_anti").drop("_below"), "short")
+        if not short.isEmpty():
+            again = self.merge(rows.join(F.broadcast(short), same, "left_semi"), names)  # some of the groups of large
+            out = out.join(F.broadcast(short), same, "left_anti").unionByName(again)
+        return out.select(*self._out(groups, names), "h")
+
+    @staticmethod
+    def _out(groups: Sequence[str], names: Sequence[str]) -> list[Column]:
+        return [F.col(n).alias(g) for g, n in zip(groups, names)]
 
     def merge(self, sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
         """The sketches as those of the (coarser) groups.

@@ -11,6 +11,7 @@ exactly the items under the heavy 32-bit prefixes, and those that reach the thre
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,19 +21,26 @@ from gaugewell.functions.copies import once
 from gaugewell.storage import written
 
 LEVELS = (8, 16, 24, 32)
-#: Heavy prefixes are broadcast if they are at most so many; otherwise they are joined by a shuffle.
-MOST_BROADCAST = 200_000
+#: Heavy prefixes that one scan looks for, all broadcast; more take more scans.
+MOST_AT_ONCE = 200_000
 
 
 class FrequentItems:
     """Items (``item``, binary or text) per ``group``; ``id_col``: rows of the same id are copies and count once.
 
     Null and empty items are none.  A null group is a group of its own; rows without an id are each their own.
+
+    ``least_share`` is the smallest share that will be asked for: the sketches are as wide as it takes for their noise to
+    stay well below it, eight cells for each item that could have it and at least 2,048, unless ``width`` says otherwise.
     """
 
-    def __init__(self, df: DataFrame, group: str, item: str, id_col: str | None = None, depth: int = 5, width: int = 2048):
+    def __init__(self, df: DataFrame, group: str, item: str, id_col: str | None = None, depth: int = 5, width: int | None = None, least_share: float = 0.005):
+        if not 0 < least_share <= 1:
+            raise ValueError("shares are above 0 and at most 1")
+        width = max(2048, 1 << math.ceil(math.log2(8 / least_share))) if width is None else width
         if width & (width - 1) or depth % 2 == 0:
             raise ValueError("width must be a power of two and depth odd")
+        self.least_share = least_share
         self.group, self.item, self.id_col, self.depth, self.width = group, item, id_col, depth, width
         keep = [F.col(id_col).alias("_id")] if id_col else []
         self.rows = df.select(F.col(group).alias("_g"), F.col(item).alias("_item"), *keep).where("_item is not null and octet_length(_item) > 0").withColumn("_h", F.xxhash64("_item"))
@@ -76,11 +84,16 @@ class FrequentItems:
 
     def find(self, share: float, sketch: DataFrame | None = None) -> DataFrame:
         """(group, item, count, total) of the items that make up at least ``share`` of their group's, counted exactly."""
+        if share < self.least_share:
+            raise ValueError(f"the sketches are for shares of {self.least_share} and more")
         heavy = written(self.heavy(written(self.sketch(), "cells") if sketch is None else sketch, share), "heavy")
-        few = heavy.count() <= MOST_BROADCAST
-        side = heavy.select(F.col("_g").alias("_hg"), F.col("_prefix"), "_total")
-        same = (F.shiftrightunsigned("_h", 32) == F.col("_prefix")) & F.col("_g").eqNullSafe(F.col("_hg"))
-        near = self.rows.join(F.broadcast(side) if few else side, same).drop("_hg", "_prefix", "_h")
-        counted = (once(near, "_id", "_g", "_item", "_total") if self.id_col else near).groupBy("_g", "_item", "_total").agg(F.count(F.lit(1)).alias("count"))
+        scans = max(1, -(-heavy.count() // MOST_AT_ONCE))
+        found = None
+        for k in range(scans):
+            side = heavy.where(F.pmod(F.xxhash64("_g", "_prefix"), F.lit(scans)) == k).select(F.col("_g").alias("_hg"), F.col("_prefix"), "_total")
+            same = (F.shiftrightunsigned("_h", 32) == F.col("_prefix")) & F.col("_g").eqNullSafe(F.col("_hg"))
+            near = self.rows.join(F.broadcast(side), same).drop("_hg", "_prefix", "_h")  # about MOST_AT_ONCE rows
+            counted = (once(near, "_id", "_g", "_item", "_total") if self.id_col else near).groupBy("_g", "_item", "_total").agg(F.count(F.lit(1)).alias("count"))
+            found = counted if found is None else found.unionByName(counted)
         least = F.col("_total") * share * (1 - 1e-12)  # the product may be rounded up
-        return counted.where(F.col("count") >= least).select(F.col("_g").alias(self.group), F.col("_item").alias(self.item), "count", F.col("_total").alias("total"))
+        return found.where(F.col("count") >= least).select(F.col("_g").alias(self.group), F.col("_item").alias(self.item), "count", F.col("_total").alias("total"))

@@ -8,8 +8,13 @@ however many rows a group has.
 
 The first pass takes ``first_bits`` halvings and is stored per part of the data (a day, a file) as counts of cells.  Cells
 of different parts are combined by adding counts; they alone give an interval for every percentile whose ends are within
-a relative ``2 ** -(first_bits - 12)`` of each other (``bounds``; 0.4 percent for 20 bits).  Exact values (``exact``) come from
-more passes, over a table of groups and values alone that the first one has written.
+a relative ``2 ** -(first_bits - 12)`` of each other (``bounds``; 0.4 percent for 20 bits).
+
+Exact values (``exact``) come from more passes, over what the first one has written: (group, value, count), each value of
+a group once, so that a value that a third of all rows have is one row.  Groups go by two 64-bit hashes of their columns;
+a dictionary of groups gives the columns back and makes sure that no two groups share both.  The second pass meets the
+intervals by a shuffle on group, cell and a salt, and keeps the values inside them; the passes after it read only those.
+Nothing is broadcast or brought to the driver, whatever the number of groups.
 """
 
 from __future__ import annotations
@@ -23,9 +28,8 @@ from gaugewell.functions.copies import once
 from gaugewell.storage import written
 
 _MANTISSA = float(1 << 52)
-#: Targets (one row per group and percentile) are broadcast if they are at most so many; otherwise they are joined by a
-#: shuffle, whose skewed partitions Spark splits.
-MOST_BROADCAST = 100_000
+#: Parts into which the values of one cell are spread in the second pass.
+SALTS = 8
 
 
 def ordered(v: Column) -> Column:
@@ -73,31 +77,30 @@ class Bisection:
         day = F.col(part) if part else F.lit(None).cast("string")
         self.rows = df.select(*cols, *keep, day.alias("_part"), ordered(F.col(value).cast("double")).alias("_key")).where("_key is not null")
 
-    def _once(self, rows: DataFrame) -> DataFrame:
-        return once(rows, "_id", *self.names, "_part", "_key") if self.id_col else rows
+    def _once(self, rows: DataFrame, *names: str) -> DataFrame:
+        return once(rows, "_id", *names, "_key") if self.id_col else rows
 
     def _cell(self) -> Column:
         return F.shiftright("_key", 64 - self.first)
 
     def partials(self) -> DataFrame:
         """(group..., _part, _cell, n): the counts of the first pass, one set per part of the data."""
-        return self._partials(self._once(self.rows))
-
-    def _partials(self, rows: DataFrame) -> DataFrame:
+        rows = self._once(self.rows, *self.names, "_part")
         return rows.groupBy(*self.names, "_part", self._cell().alias("_cell")).agg(F.count(F.lit(1)).alias("n"))
 
     def merge(self, partials: DataFrame) -> DataFrame:
         """The counts of all parts together; counts from elsewhere may be in the union that is given."""
         return partials.groupBy(*self.names, "_cell").agg(F.sum("n").alias("n"))
 
-    def targets(self, merged: DataFrame) -> DataFrame:
+    def targets(self, merged: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
         """(group..., q, total, rank, below, _prefix): the cell of each target rank and the number of rows below it."""
-        w = Window.partitionBy(*self.names)  # at most 2 ** first_bits cells
+        names = self.names if names is None else list(names)
+        w = Window.partitionBy(*names)  # at most 2 ** first_bits cells
         counted = merged.withColumn("_upto", F.sum("n").over(w.orderBy("_cell"))).withColumn("total", F.sum("n").over(w))
         rank = lambda q: F.greatest(F.expr(f"(total * {int(q)} + 999) div 1000"), F.lit(1))
         wanted = F.inline(F.array(*[F.struct(F.lit(q).alias("q"), rank(q).alias("rank")) for q in self.permille]))
         below = F.col("_upto") - F.col("n")
-        found = counted.select(*self.names, "total", "_upto", below.alias("below"), F.col("_cell").alias("_prefix"), wanted)
+        found = counted.select(*names, "total", "_upto", below.alias("below"), F.col("_cell").alias("_prefix"), wanted)
         return found.where("below < rank and rank <= _upto").drop("_upto")
 
     def bounds(self, merged: DataFrame) -> DataFrame:
@@ -111,27 +114,40 @@ class Bisection:
     def _out(self) -> list[Column]:
         return [F.col(n).alias(g) for n, g in zip(self.names, self.groups)]
 
+    _ID = ["_a", "_b"]  # a group
+
     def exact(self) -> DataFrame:
-        """(group..., n, q, value): the exact percentiles, q in thousandths.
-
-        The source is scanned once, into a table of groups and values; all passes read that table.
-        """
-        rows = written(self._once(self.rows).select(*self.names, "_part", "_key"), "values")
-        targets = written(self.targets(self.merge(self._partials(rows))), "targets")
-        few = targets.count() <= MOST_BROADCAST
-        for done in range(self.first, 64, self.bits):
-            targets = self._narrowed(rows, targets, done, few)
-        return targets.select(*self._out(), F.col("total").alias("n"), "q", value_of(F.col("_prefix")).alias("value"))
-
-    def _narrowed(self, rows: DataFrame, targets: DataFrame, done: int, few: bool) -> DataFrame:
-        """One more pass: count the rows of each interval by the next bits and keep the part with the rank."""
-        prefix = F.shiftright("_key", 64 - done)
-        t = targets.select(*[F.col(n).alias("_t" + n) for n in self.names], "q", "total", "rank", "below", F.col("_prefix").alias("_old"))
-        same = F.col("_old") == prefix
-        for n in self.names:
-            same = same & F.col(n).eqNullSafe(F.col("_t" + n))
-        next_ = F.shiftright("_key", max(0, 64 - done - self.bits)).alias("_prefix")
-        counted = rows.join(F.broadcast(t) if few else t, same).groupBy(*self.names, "q", "total", "rank", "below", next_).agg(F.count(F.lit(1)).alias("n"))
-        w = Window.partitionBy(*self.names, "q").orderBy("_prefix")  # at most 2 ** bits parts
+        """(group..., n, q, value): the exact percentiles, q in thousandths."""
+        text = F.to_json(F.struct(*self.names), {"ignoreNullFields": "false"})
+        named = self.rows.withColumns({"_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text)})
+        groups = named.select(*self._ID, *self.names).distinct()
+        alone = F.count(F.lit(1)).over(Window.partitionBy(*self._ID)) == 1
+        groups = groups.withColumn("_one", alone).where(F.when(F.col("_one"), True).otherwise(F.raise_error(F.lit("two groups share their hashes")).cast("boolean"))).drop("_one")
+
+        # What copies of a row and equal values of a group come to, before anything is compared.
+        values = written(self._once(named, *self._ID).groupBy(*self._ID, "_key").agg(F.count(F.lit(1)).alias("n")), "values")
+        cells = values.groupBy(*self._ID, self._cell().alias("_cell")).agg(F.sum("n").alias("n"))
+        targets = written(self.targets(cells, self._ID), "targets")
+
+        salted = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("_prefix", "_cell")
+        spread = values.withColumns({"_cell": self._cell(), "_salt": F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")})
+        near = written(spread.join(salted, [*self._ID, "_cell", "_salt"]).select(*self._TARGET, "_key", "n"), "near")
+        done = self.first
+        while True:
+            done = min(done + self.bits, 64)
+            found = self._narrowed(near, done)
+            if done == 64:
+                break
+            found = written(found, "narrowed")
+            inside = found.withColumnRenamed("below", "_below").withColumnRenamed("_prefix", "_p").select(*self._ID, "q", "_below", "_p")
+            near = near.withColumn("_p", F.shiftright("_key", 64 - done)).join(inside, [*self._ID, "q", "_p"]).drop("_p", "below").withColumnRenamed("_below", "below")
+        return found.join(groups, self._ID).select(*self._out(), F.col("total").alias("n"), "q", value_of(F.col("_prefix")).alias("value"))
+
+    _TARGET = [*_ID, "q", "total", "rank", "below"]
+
+    def _narrowed(self, near: DataFrame, done: int) -> DataFrame:
+        """One more pass: count the values of each interval by their first ``done`` bits and keep the part with the rank."""
+        counted = near.groupBy(*self._TARGET, F.shiftright("_key", 64 - done).alias("_prefix")).agg(F.sum("n").alias("n"))
+        w = Window.partitionBy(*self._ID, "q").orderBy("_prefix")  # at most 2 ** bits parts
         out = counted.withColumn("_upto", F.col("below") + F.sum("n").over(w))
-        return out.where("_upto - n < rank and rank <= _upto").select(*self.names, "q", "total", "rank", (F.col("_upto") - F.col("n")).alias("below"), "_prefix")
+        return out.where("_upto - n < rank and rank <= _upto").select(*self._ID, "q", "total", "rank", (F.col("_upto") - F.col("n")).alias("below"), "_prefix")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from gaugewell.functions.labels import escaped, entries, label_set
@@ -68,6 +71,37 @@ def p1_from_daily_partials(spark, sf_dir):
     return b.bounds(b.merge(written(b.partials(), "partials")))
 
 
+def p1_bounds_hold(spark, sf_dir):
+    """Whether the bounds from the days' counts hold the exact value and are within 0.4 percent of each other."""
+    b = _bisection(spark, sf_dir)
+    keys = ["metric", "labels", "n", "q"]
+    exact = b.exact().select(*[F.col(k).alias("_" + k) for k in keys], "value")
+    both = p1_from_daily_partials(spark, sf_dir).join(exact, reduce(and_, [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys]))
+    low, high, v = F.col("low"), F.col("high"), F.col("value")
+    near = (high == low) | (F.abs(high - low) <= F.lit(2.0**-8) * F.least(F.abs(low), F.abs(high))) | (F.greatest(F.abs(low), F.abs(high)) < F.lit(1e-290)) | (F.abs(high) == float("inf")) | (F.abs(low) == float("inf"))
+    return both.select(*keys, ((low <= v) & (v <= high) & near).alias("holds"))
+
+
+def p8_pieces_fit(spark, sf_dir):
+    """Per document that is cut, what all its pieces have in common: whole, in order, within the limit, overlapping."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc_id").orderBy("piece_no")  # the pieces of one document
+    p = p8_pieces(spark, sf_dir).withColumns({"_before": F.lag("end_token", 1, 0).over(w), "_char": F.lag("end_char", 1, 0).over(w)})
+    joint = (F.col("start_token") == F.col("_before")) & (F.col("start_char") == F.col("_char"))
+    lap = F.when(F.col("piece_no") == 0, 0).otherwise(F.least(F.col("start_token"), F.lit(64)))
+    fits = (F.col("n_tokens") <= 2048) & (F.col("n_tokens") == F.size("ids")) & (F.col("overlap") == lap)
+    per = p.groupBy("doc_id").agg(F.min(joint).alias("joint"), F.min(fits).alias("fits"), F.max("end_char").cast("bigint").alias("chars"), (F.count(F.lit(1)) == F.max("n_pieces")).alias("complete"))
+    return per.join(p8_found(spark, sf_dir), "doc_id").select("doc_id", "joint", "fits", "complete", "chars")
+
+
+def p6_edited(spark, sf_dir):
+    """(doc_id, same, n): whether a text put together by appends and edits of its prefix tables has the ids of the whole."""
+    from gaugewell.llm.tokens import edited_texts
+
+    return edited_texts(table(spark, sf_dir, "documents"))
+
+
 def _visitor_sketches(spark, sf_dir, ks):
     """Sketches per metric, day and label set, and the merged ones of all rows and of each label value."""
     o = table(spark, sf_dir, "observations").where("kind = 'Hash'")
@@ -125,7 +159,7 @@ def p5_entries(spark, sf_dir):
     return _keys(spark, sf_dir).find(0.005).select("metric", F.col("bytes").alias("key"), F.col("count").cast("double").alias("count"))
 
 
-_FUNCTIONS = (p1_percentiles, p1_from_daily_partials, p3_distinct, p3_day_to_day, p5_found, p5_entries, p6_ids, p7_found, p7_passages, p8_found, p8_pieces)
+_FUNCTIONS = (p1_percentiles, p1_from_daily_partials, p1_bounds_hold, p6_edited, p8_pieces_fit, p3_distinct, p3_day_to_day, p5_found, p5_entries, p6_ids, p7_found, p7_passages, p8_found, p8_pieces)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _ENTRIES = r"""list_transform(list_sort(list_filter(map_entries(labels), lambda e: e.value IS NOT NULL)),
@@ -155,3 +189,17 @@ c AS (SELECT *, sum(n) OVER (PARTITION BY metric) AS total FROM k)
 """
 SQL["p5_found"] = _KEYS + "SELECT metric, lower(hex(bytes)) AS key_hex FROM c WHERE n >= total * 0.02"
 SQL["p5_entries"] = _KEYS + "SELECT metric, bytes AS key, n::DOUBLE AS count FROM c WHERE n >= total * 0.005"
+SQL["p1_bounds_hold"] = SQL["p1_percentiles"].replace("v AS value", "true AS holds")
+_DAYS = SQL["p3_distinct"].split(",\ns AS")[0] + """,
+s AS (SELECT metric, day, level, labels, h FROM k WHERE no <= 1024 AND day IS NOT NULL),
+u AS (SELECT metric, day, level, labels, h, 1 AS l, 0 AS r FROM s UNION ALL SELECT metric, day - 1, level, labels, h, 0, 1 FROM s),
+t AS (SELECT metric, day, level, labels, least(CASE WHEN sum(l) >= 1024 THEN max(h) FILTER (l = 1) ELSE 1152921504606846976 END,
+                                               CASE WHEN sum(r) >= 1024 THEN max(h) FILTER (r = 1) ELSE 1152921504606846976 END) AS theta FROM u GROUP BY ALL),
+b AS (SELECT metric, day, level, labels, h, max(l) AS l, max(r) AS r FROM u GROUP BY ALL),
+c AS (SELECT metric, day, level, labels, theta, count(*) FILTER (h < theta) AS a, count(*) FILTER (h < theta AND l = 1 AND r = 1) AS i,
+             count(*) FILTER (h < theta AND l = 1 AND r = 0) AS x, count(*) FILTER (h < theta AND l = 0 AND r = 1) AS y FROM b JOIN t USING (metric, day, level, labels) GROUP BY ALL),
+o AS (SELECT metric, day, level, labels, theta::DOUBLE / 1152921504606846976.0::DOUBLE AS share, unnest(['union', 'intersection', 'left_only', 'right_only']) AS op, unnest([a, i, x, y]) AS n FROM c),
+z AS (SELECT *, CASE WHEN share >= 1 THEN 0.0::DOUBLE WHEN n = 0 THEN 3.0::DOUBLE ELSE 1.96::DOUBLE * sqrt(n * (1 - share)) END AS spread FROM o)
+SELECT agg_id, day, level, labels, op, round(n / share, 6) AS estimate, round(greatest((n - spread) / share, n::DOUBLE), 6) AS low, round((n + spread) / share, 6) AS high
+FROM z JOIN (SELECT DISTINCT agg_id, metric FROM plan_configs WHERE sketch_type = 'HLLSketch') p USING (metric)"""
+SQL["p3_day_to_day"] = _DAYS.replace("WITH o AS", "WITH obs AS").replace("FROM o\n", "FROM obs\n").replace("FROM o UNION", "FROM obs UNION").replace("FROM o),", "FROM obs),")

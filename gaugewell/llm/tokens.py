@@ -54,3 +54,34 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=[id_col, "ids"])
 
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
+def edited_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = BYTE_BPE_50K, parts: int = 4) -> DataFrame:
+    """(id, same, n): whether a text that is put together by appends and edits has the ids of the whole, and their number.
+
+    A text is appended in ``parts`` parts to one ``Encoding``; then a stretch in its middle is replaced by its reverse and
+    put back.  Null and empty texts have no ids.  Texts are handled whole; the work is about that of encoding them twice.
+    """
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("same", T.BooleanType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from gaugewell.llm.bpe import Encoding, vocabulary
+
+        v = vocabulary(path)
+        for batch in batches:
+            same, n = [], []
+            for k in range(batch.num_rows):
+                text = batch.column(1)[k].as_py() or ""
+                e, step = Encoding(v), max(1, -(-len(text) // parts))
+                for at in range(0, len(text), step):
+                    e.append(text[at : at + step])
+                middle, few = len(text) // 2, min(20, len(text) // 4)
+                if few:
+                    e.edit(middle, few, text[middle : middle + few][::-1])
+                    e.edit(middle, few, text[middle : middle + few])
+                ids = e.ids()
+                same.append(ids == v.encode(text).tolist())
+                n.append(len(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.bool_()), pa.array(n, pa.int64())], names=schema.fieldNames())
+
+    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)

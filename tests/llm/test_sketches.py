@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from gaugewell.functions.hashing import hash60
 from gaugewell.llm.distinct import KSmallest
 from gaugewell.llm.frequent import FrequentItems
 from gaugewell.llm.percentiles import Bisection, ordered, value_of
@@ -150,3 +151,40 @@ def test_day_to_day_has_the_combinations(spark, tmp_path):
     one, two = "a=1;b=1;", "a=1;b=2;"
     want = {(0, one): (2, 0), (1, one): (2, 1), (2, one): (1, 1), (3, one): (1, 0), (1, two): (1, 0), (2, two): (1, 0)}
     assert {(r.day, r.labels, r.op): r.estimate for r in got} == {(*k, op): v[n] for k, v in want.items() for n, op in enumerate(("union", "intersection"))}
+
+
+def test_percentiles_of_a_hot_value_and_of_many_groups(spark):
+    rng = random.Random(8)
+    data = [(f"g{i % 50}" if i % 3 else None, 0.0 if i % 2 else rng.choice([rng.gauss(0, 1), 1 + rng.random() / 1000, float("inf")])) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, v double")
+    for first, bits in ((20, 16), (4, 20), (24, 20)):
+        got = {(r.g, r.q): (r.n, r.v) for r in Bisection(df, ["g"], "v", [1, 500, 999, 1000], first_bits=first, bits=bits).exact().withColumnRenamed("value", "v").collect()}
+        for g in {g for g, _ in data}:
+            vs = sorted(v for h, v in data if h == g)
+            for q in (1, 500, 999, 1000):
+                assert got[g, q] == (len(vs), vs[max(-(-q * len(vs) // 1000), 1) - 1])
+
+
+def test_large_groups_are_trimmed_exactly(spark, monkeypatch):
+    from gaugewell.llm import distinct
+
+    data = [(f"g{i % 3}" if i % 5 else None, i % 4000) for i in range(12000)]
+    df = spark.createDataFrame(data, "g string, v bigint")
+    ks = KSmallest(64)
+    plain = {tuple(r) for r in ks.merge(df.select("g", hash60(F.col("v")).alias("h")), ["g"]).collect()}
+    for left in (2, 0.5):  # with 0.5 every group comes out short and is done again
+        monkeypatch.setattr(distinct, "LEFT", left)
+        assert {tuple(r) for r in ks.sketch(df, ["g"], "v").collect()} == plain
+
+
+def test_frequent_items_at_small_shares_and_in_several_scans(spark, monkeypatch):
+    from gaugewell.llm import frequent
+
+    rng = random.Random(9)
+    data = [("m", f"hot{i}".encode()) for i in range(40) for _ in range(20)] + [("m", str(rng.random()).encode()) for _ in range(19200)]
+    df = spark.createDataFrame(data, "g string, item binary")
+    monkeypatch.setattr(frequent, "MOST_AT_ONCE", 7)
+    got = FrequentItems(df, "g", "item", least_share=0.001).find(0.001).collect()
+    assert {bytes(r["item"]) for r in got} == {f"hot{i}".encode() for i in range(40)} and {r["count"] for r in got} == {20}
+    with pytest.raises(ValueError):
+        FrequentItems(df, "g", "item").find(0.001)
