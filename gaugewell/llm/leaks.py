@@ -24,8 +24,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 _GAP = re.compile(r"[\W_]+")
 _WORD = re.compile(r"[^\W_]+")
 _ASCII = str.maketrans({i: (chr(i).lower() if chr(i).isalnum() else " ") for i in range(128)})
-#: Characters of items that one automaton takes; more are spread over several passes.
-BLOCK_CHARS = 8_000_000
+#: Characters of items that one automaton takes (about 106 MB a worker for each million); more are spread over several
+#: passes, all of which find the same as one would.
+BLOCK_CHARS = 2_000_000
 
 
 @lru_cache(maxsize=1)
