@@ -92,6 +92,7 @@ def test_lift_is_the_inverse(spark):
     assert records.lift(flat.limit(0), "time_unix_nano")[1].count() == 0
 
 
+#: Series keys as their readers expect them.
 GOLDEN = [
     (42, {"host.name": "node-1", "service.name": "web"}, {"http.method": "GET", "http.status": "200"}, (), "42|host.name=node-1;service.name=web;|http.method=GET;http.status=200;"),
     (7, {"region": "us-east", "service.name": "api"}, {"http.method": "POST", "http.status": "500", "k8s.pod": "p-1"}, ("http.method", "http.status"), "7|region=us-east;service.name=api;|http.method=POST;http.status=500;"),
