@@ -16,7 +16,9 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -77,6 +79,16 @@ class Vocabulary:
         self._exact = None
         self._fine: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
+        self.tables: dict[str, list[int]] = {}  # of short pieces; they are never changed
+        self.walked: dict[str, list[int]] = {}  # their ids
+
+    def remembered(self, piece: str, table: list[int]) -> list[int]:
+        """The table, which is kept if its piece is short."""
+        if len(piece) <= _LONG:
+            if len(self.tables) >= _KEPT:
+                self.tables.clear()
+            self.tables[piece] = table
+        return table
 
     def _halves(self, t: bytes, rank: int) -> tuple[int, int]:
         """The two tokens whose merge makes the token."""
@@ -224,6 +236,9 @@ class Encoding:
         self._replace(0, 0, text)
 
     def _table(self, piece: str, before: tuple[str, list[int]] | None) -> list[int]:
+        short = self.vocabulary.tables.get(piece)
+        if short is not None:
+            return short
         data = piece.encode("utf-8", "surrogatepass")
         known: list[int] = []
         if before is not None:
@@ -235,7 +250,7 @@ class Encoding:
                 same += 1
             known = before[1][:same]
         self.work += len(data) - len(known)
-        return self.vocabulary.ends(data, known)
+        return self.vocabulary.remembered(piece, self.vocabulary.ends(data, known))
 
     def _replace(self, first: int, last: int, text: str) -> None:
         """Cut ``text`` and put it in the place of the pieces from first up to last."""
@@ -257,17 +272,22 @@ class Encoding:
         new = whole[:at] + text + whole[at + removed :]
         start = _border_before(whole, at)
         end = _border_after(whole, at + removed)
-        first = last = size = 0
-        for k, p in enumerate(self.pieces):
-            if size < start:
-                first = k + 1
-            if size < end:
-                last = k + 1
-            size += len(p)
+        starts = list(accumulate(map(len, self.pieces), initial=0))[:-1]  # rising, as no piece is empty
+        first, last = bisect_left(starts, start), bisect_left(starts, end)
         self._replace(first, last, new[start : end + len(new) - len(whole)])
 
     def ids(self) -> list[int]:
-        return [i for t in self.tables for i in self.vocabulary.walk(t)]
+        walked, out = self.vocabulary.walked, []
+        for piece, table in zip(self.pieces, self.tables):
+            got = walked.get(piece)
+            if got is None:
+                got = self.vocabulary.walk(table)
+                if len(piece) <= _LONG:
+                    if len(walked) >= _KEPT:
+                        walked.clear()
+                    walked[piece] = got
+            out += got
+        return out
 
 
 #: A space between two characters that aren't white space always starts a piece.

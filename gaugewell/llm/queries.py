@@ -159,7 +159,7 @@ def p5_entries(spark, sf_dir):
     return _keys(spark, sf_dir).find(0.005).select("metric", F.col("bytes").alias("key"), F.col("count").cast("double").alias("count"))
 
 
-_FUNCTIONS = (p1_percentiles, p1_from_daily_partials, p1_bounds_hold, p6_edited, p8_pieces_fit, p3_distinct, p3_day_to_day, p5_found, p5_entries, p6_ids, p7_found, p7_passages, p8_found, p8_pieces)
+_FUNCTIONS = (p1_percentiles, p1_from_daily_partials, p1_bounds_hold, p3_distinct, p3_day_to_day, p5_found, p5_entries, p6_ids, p6_edited, p7_found, p7_passages, p8_found, p8_pieces, p8_pieces_fit)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _ENTRIES = r"""list_transform(list_sort(list_filter(map_entries(labels), lambda e: e.value IS NOT NULL)),

@@ -56,7 +56,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def edited_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = BYTE_BPE_50K, parts: int = 4) -> DataFrame:
+def edited_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = BYTE_BPE_50K, parts: int = 2) -> DataFrame:
     """(id, same, n): whether a text that is put together by appends and edits has the ids of the whole, and their number.
 
     A text is appended in ``parts`` parts to one ``Encoding``; then a stretch in its middle is replaced by its reverse and
